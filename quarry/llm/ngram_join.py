@@ -202,10 +202,25 @@ def similar(nx: str, ny: str, px: str, py: str, percent: int):
     return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & ((100 + percent) * rest >= percent * (a + b))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs(a, b) with ok: whether the whole sets pass. A hot hub's rows stream past its set; AQE splits them."""
-    x, y = sets.select(F.col("gid").alias("a"), F.col("members").alias("x")), sets.select(F.col("gid").alias("b"), F.col("members").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long, ok boolean")
+def _verified(docs: DataFrame, pairs: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFrame:
+    """pairs(a, b) with ok: whether the whole sets pass. Only sets that a pair asks for leave the texts.
+
+    A hot hub's rows stream past its one set; AQE splits them.
+    """
+    spark = docs.sparkSession
+    pairs = scratch.keep(pairs)
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("gid")).distinct()
+    n = asked.count()
+    bits = max(BLOOM_LEAST, min(BLOOM_MOST, (16 * n + 1).bit_length()))
+    bloom = spark.sparkContext.broadcast(_joined_parts(asked.mapInArrow(_bloom_part(bits), "part int, counts binary"), _any_of) or bytes(1 << (bits - 3)))
+    sets = scratch.keep(docs.mapInArrow(_sets(width, bits, bloom), "gid long, members binary")) if n else spark.createDataFrame([], "gid long, members binary")
+    one = sets.dropDuplicates(["gid"])
+    x, y = one.select(F.col("gid").alias("a"), F.col("members").alias("x")), one.select(F.col("gid").alias("b"), F.col("members").alias("y"))
+    done = scratch.keep(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long, ok boolean"))
+    for used in (pairs, sets) if n else (pairs,):
+        scratch.drop(used)
+    scratch.release()
+    return done
 
 
 def _star_pairs(runs: DataFrame, turn: int, percent: int) -> DataFrame:
@@ -232,8 +247,9 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, star_
     scratch = Scratch(spark, "ngram-join")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     survey = scratch.keep(docs.mapInArrow(_survey(width), "doc_id long, n long, gid long, hi long, part int, counts binary"))
-    nodes = survey.where("part is null").select("doc_id", "n", "gid")
+    nodes = scratch.keep(survey.where("part is null").select("doc_id", "n", "gid"))
     ranks = spark.sparkContext.broadcast(_joined_parts(survey.where("part is not null").select("part", "counts"), _add_up) or bytes(1 << SKETCH_BITS))
+    scratch.drop(survey)
 
     heads = docs.mapInArrow(_prefixes(width, percent, ranks), "token long, grp long, pos int, gid long, n long")
     meeting = Window.partitionBy(F.coalesce("token", "grp"), F.col("token").isNull())
@@ -244,24 +260,18 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, star_
     alike = members.where("several").select(F.col("grp").alias("token"), "gid", "n", F.lit(0).alias("pos"))
     runs = scratch.keep(met.join(members, "grp").select("token", "gid", "n", "pos").unionByName(alike))
     scratch.drop(heads)
-
-    found = runs.select("gid").distinct()
-    bits = max(BLOOM_LEAST, min(BLOOM_MOST, (16 * found.count() + 1).bit_length()))
-    bloom = spark.sparkContext.broadcast(_joined_parts(found.mapInArrow(_bloom_part(bits), "part int, counts binary"), _any_of) or bytes(1 << (bits - 3)))
-    sets = docs.mapInArrow(_sets(width, bits, bloom), "gid long, members binary")
-    sets = scratch.keep(sets.join(found, "gid", "left_semi").dropDuplicates(["gid"]))
+    scratch.release()
 
     tried = links = roots = None
     for turn in range(star_rounds + 1):
         labelled = runs.withColumn("label", F.col("gid")) if roots is None else runs.join(roots, runs.gid == roots.node, "left").select("token", "gid", "n", "pos", F.coalesce("root", "gid").alias("label"))
         pairs = _star_pairs(labelled, turn, percent) if turn < star_rounds else _cross_pairs(labelled, percent)
         pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
-        done = scratch.keep(_verified(pairs, sets, percent))
+        done = _verified(docs, pairs, scratch, width, percent)
         tried = done.select("a", "b") if tried is None else tried.unionByName(done.select("a", "b"))
         good = done.where("ok").select("a", "b")
         links = good if links is None else links.unionByName(good)
         roots = connected_components(links, scratch)
-    scratch.drop(sets)
 
     placed = nodes.join(roots, nodes.gid == roots.node, "left").select("doc_id", "n", F.coalesce("root", "gid").alias("root"))
     least = placed.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))

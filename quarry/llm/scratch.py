@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -32,6 +33,11 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def release(self) -> None:
+        """Let the driver find what no step needs any more, so that finished steps' shuffle files go."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         """Delete a kept table that no later step reads."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
