@@ -5,7 +5,7 @@ shingles have one global order, rarest first by a count sketch over all document
 their first n - ceil(0.8 n) + 1 shingles in any such order. Sets with the same prefix and size form a group; groups meet
 on shared prefix shingles; runs of one group end there. The rest is expanded to members and verified on the whole sets.
 
-A run of k members does not become k * k pairs: two rounds compare each member with one hub of its run, the components
+A run of k members does not become k * k pairs: two rounds compare each member with a few hubs of its run, the components
 found so far skip what they already hold, and a last round compares every pair across components that passes the exact
 size and position bounds. So no link between components is lost, and no pair inside one is made for nothing.
 
@@ -29,6 +29,8 @@ from quarry.llm.scratch import Scratch
 SKETCH_BITS, SKETCH_PARTS = 21, 64
 #: Bits of the filter that spares sets without a candidate partner the shuffle.
 BLOOM_LEAST, BLOOM_MOST = 20, 28
+#: Hubs that each member of a run is compared with in a round, before what is left is compared with every other.
+HUBS = 6
 
 
 def prints(keys: np.ndarray) -> tuple[int, int]:
@@ -224,9 +226,11 @@ def _verified(docs: DataFrame, pairs: DataFrame, scratch: Scratch, width: int, p
 
 
 def _star_pairs(runs: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Each member of a run that spans components, with the hub of its run."""
-    hub = runs.groupBy("token").agg(F.min(F.struct(F.xxhash64("gid", F.lit(turn)).alias("h"), "gid", "n", "pos", "label")).alias("hub"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    hub = hub.where("lo < hi").select("token", F.col("hub.gid").alias("hgid"), F.col("hub.n").alias("hn"), F.col("hub.pos").alias("hpos"), F.col("hub.label").alias("hlabel"))
+    """Each member of a run that spans components, with a few hubs of its run (each a minimum, so nothing is gathered)."""
+    hubs = [F.min(F.struct(F.xxhash64("gid", F.lit(turn * HUBS + i)).alias("h"), "gid", "n", "pos", "label")).alias(f"hub{i}") for i in range(HUBS)]
+    hub = runs.groupBy("token").agg(*hubs, F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    fields = [F.struct(*(F.col(f"hub{i}.{c}").alias(f"h{c}") for c in ("gid", "n", "pos", "label"))) for i in range(HUBS)]
+    hub = hub.select("token", F.explode(F.array_distinct(F.array(*fields))).alias("hub")).select("token", "hub.*")
     near = runs.join(hub, "token").where("label <> hlabel").where(similar("n", "hn", "pos", "hpos", percent))
     return near.select(F.least("gid", "hgid").alias("a"), F.greatest("gid", "hgid").alias("b")).distinct()
 
