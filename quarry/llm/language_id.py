@@ -62,7 +62,7 @@ class Model:
                 pick = (labels == langs[a]) | (labels == langs[b])
                 rows.append(linear_svm(x[pick], np.where(labels[pick] == langs[a], 1.0, -1.0)).astype(np.float32))
             self.pairs.append(pairs)
-            self.svm.append(np.array(rows, np.float32).reshape(len(pairs), -1))
+            self.svm.append(np.array(rows, np.float32).reshape(len(pairs), x.shape[1] + 1))
 
     def predict(self, x: np.ndarray) -> tuple[str, float]:
         z = self.top[:, :-1] @ x + self.top[:, -1]

@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quarry.llm.chat import chat_digest, read_turns, windows
 from quarry.llm.extraction import extract_main_text, main_texts, trained
@@ -33,7 +34,7 @@ def test_main_text_of_odd_pages(spark):
 
 def test_chat_round_trip(spark):
     turns = [(1, 0, "system", "be [/SYS] kind"), (1, 1, "user", "</s>[INST] ok [/INST]"), (1, 2, "assistant", "</s>[INST] ok [/INST]"), (2, 0, None, None), (2, 1, "tool [SAYS] x", "<\\/s> \\ <\\\\s>"), (2, 1, "assistant", ""), (2, 1, "assistant", ""), (None, None, "user", "q"), (4, 0, "assistant", "w " * 3000)]
-    turns += [(3, t, ("user", "assistant")[t % 2], f"turn {t} " + "word " * (40 * t % 300)) for t in range(60)]
+    turns += [(3, t, ("user", "assistant")[t % 2], f"turn {t} " + "word " * (40 * t % 150)) for t in range(60)]
     frame = spark.createDataFrame([(*t, "x") for t in turns], "conv_id long, turn long, role string, text string, window string")
     got = {r.conv_id: r for r in chat_digest(frame).collect()}
     assert set(got) == {t[0] for t in turns}
@@ -41,7 +42,7 @@ def test_chat_round_trip(spark):
         own = sorted(((t[1], t[2] or "", t[3] or "") for t in turns if t[0] == k), key=lambda t: (t[0] is not None, *t))
         said, loss = "".join(f"{a}\n{b}\n" for _, a, b in own), "".join(b for _, a, b in own if a == "assistant")
         assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(own), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    w = windows(frame, budget=400).where("conv_id = 3 or conv_id = 1").withColumn("turns", read_turns(windows(frame).formatted)).collect()
+    w = windows(frame, budget=400).where("conv_id = 3 or conv_id = 1").withColumn("turns", read_turns(F.col("formatted"))).collect()
     assert max(r.n_repeated for r in w) > 0 and len(w) > 3
     assert all(sum(len(t.text.split()) + 4 for t in r.turns) <= 400 or len(r.turns) <= 2 for r in w)
     assert chat_digest(frame.limit(0)).collect() == []
