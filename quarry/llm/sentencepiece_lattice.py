@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from quarry.llm.textfeatures import bounded_sample
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-MOST_PIECES, HOT_UNITS, HOT_LENGTH, SAMPLE_DOCS, BLOCK_DOCS, MEMO = 1 << 20, 1 << 20, 64, 32768, 2048, 400_000
+MOST_PIECES, HOT_UNITS, HOT_LENGTH, SAMPLE_DOCS, BLOCK_DOCS, MEMO = 1 << 20, 1 << 17, 64, 16384, 1024, 100_000
 WORD = re.compile(r" *[^ \n]+| +|\n")
 SPACE = "▁"
 
@@ -221,14 +221,14 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     n = docs.count()
     blocks = max(1, -(-n // BLOCK_DOCS))
     seen = bounded_sample(docs, SAMPLE_DOCS, F.col("doc_id")).select("text").mapInArrow(_count_units(vocabulary.joined), "unit string, n long")
-    frequent = seen.groupBy("unit").agg(F.sum("n").alias("n")).where(f"n > 1 and length(unit) <= {HOT_LENGTH} and instr(unit, '\\0') = 0").limit(HOT_UNITS).select("unit").repartition("unit")
+    frequent = seen.groupBy("unit").agg(F.sum("n").alias("n")).where(f"n > 1 and length(unit) <= {HOT_LENGTH} and instr(unit, '\\0') = 0").orderBy(F.desc("n"), "unit").limit(HOT_UNITS).select("unit").repartition(max(8, min(64, blocks)), "unit")
     known = lattice(frequent, vocabulary).toArrow()
     packed = [_ids(c, vocabulary.byte_ids) for c in known.column("codes").to_pylist()]
     shared = spark.sparkContext.broadcast(("\x00".join(known.column("unit").to_pylist()), np.cumsum([len(p) for p in packed]).tolist(), b"".join(packed)))
     key = f"{shared._jbroadcast.id()}-{spark.sparkContext.applicationId}"
 
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-    cold = dealt.mapInArrow(_cold(shared, key, vocabulary.joined), "block long, unit string").repartition("unit")
+    cold = dealt.mapInArrow(_cold(shared, key, vocabulary.joined), "block long, unit string").repartition(max(8, blocks // 2), "unit")
     made = lattice(cold.select("unit").distinct(), vocabulary)
     byte_ids = vocabulary.byte_ids
 
