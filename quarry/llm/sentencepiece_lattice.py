@@ -3,10 +3,14 @@
 Units. Between two characters that no piece of the vocabulary holds side by side every path has a cut, so the best path
 of a text is the best paths of its units, the stretches between such cuts, one after another.
 
+Pieces. A piece that scores less than the best path through its own parts is on no best path of any text; such pieces are
+left out of the lattice, which changes no result.
+
 Lattice. Distinct units explode into substrings no longer than the longest piece, which meet the piece table by equi-join
-(a table of at most MOST_PIECES rows, broadcast); a character that is no piece stays as bytes (byte fallback). The edges
-are grouped by unit and a higher-order aggregate folds Viterbi over them: the path of the largest sum of piece scores,
-the shorter last piece among equals. That is the search of unigram models. On a vocabulary whose scores are merge ranks
+on a 64-bit hash, the strings being compared after it (a table of at most MOST_PIECES rows, broadcast); a character that
+is no piece stays as bytes (byte fallback). The edges are grouped by unit, sorted by their end and length, and a
+higher-order aggregate folds Viterbi over them: the path of the largest sum of piece scores, the shorter last piece among
+equals. That is the search of unigram models. On a vocabulary whose scores are merge ranks
 (BPE) it is the best path under these scores and may differ from what greedy merging gives.
 
 Texts. Units that are frequent in a bounded sample of documents are encoded first and kept as a dictionary of at most
@@ -25,6 +29,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,9 +49,22 @@ class Vocabulary:
         self.pieces, self.byte_ids = pieces, byte_ids
         self.longest = max(len(p) for p, _, _ in pieces)
         self.unknown = min((s for _, _, s in pieces if s > -1e8), default=0.0) - 10.0
-        self.joined = {p[i : i + 2] for p, _, _ in pieces for i in range(len(p) - 1)}
+        self.useful = [x for x in pieces if len(x[0]) == 1 or self._parts(x[0]) <= x[2] + 1e-9 * abs(x[2])]
+        self.reach = max(len(p) for p, _, _ in self.useful)
+        self.joined = {p[i : i + 2] for p, _, _ in self.useful for i in range(len(p) - 1)}
         if len(pieces) > MOST_PIECES or any(re.search(r"[^ ] |.\n|\n.", p, re.S) for p, _, _ in pieces):
             raise ValueError("a vocabulary whose pieces cross words, or too large a one")
+        if len({xxhash.xxh64_intdigest(p.encode(), 42) for p, _, _ in pieces}) < len(pieces):
+            raise ValueError("pieces that are the same, or whose hashes are")
+
+    def _parts(self, piece: str) -> float:
+        """The score of the best path through a piece's text that is not the piece itself."""
+        table, best = self.table(), [0.0]
+        for end in range(1, len(piece) + 1):
+            options = [best[end - 1] + table.get(piece[end - 1], (0, self.unknown))[1]]
+            options += [best[at] + table[piece[at:end]][1] for at in range(end - 1) if end - at < len(piece) and piece[at:end] in table]
+            best.append(max(options))
+        return best[-1]
 
     @staticmethod
     @cache
@@ -82,28 +100,31 @@ def units_of(word: str, joined: set[str]) -> list[str]:
 
 def lattice(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """unit, codes array<int> for distinct units(unit), kept in their partitions; -1 - c is a character c that is no piece."""
-    spark = units.sparkSession
-    table = spark.createDataFrame(vocabulary.pieces, "piece string, id int, score double")
+    table = units.sparkSession.createDataFrame(vocabulary.useful, "name string, id int, score double").withColumn("h", F.xxhash64("name"))
     spans = units.select("unit", F.length("unit").alias("size")).select("unit", "size", F.explode(F.expr("sequence(1, size)")).alias("at"))
-    spans = spans.select("unit", "at", F.explode(F.expr(f"sequence(1, least({vocabulary.longest}, size - at + 1))")).alias("len"))
-    spans = spans.withColumn("piece", F.substr("unit", "at", "len"))
-    found = spans.join(F.broadcast(table), "piece", "left").where("id is not null or len = 1")
-    found = found.withColumn("e", F.col("at") + F.col("len") - 1)
-    edge = F.struct(F.col("len").alias("l"), F.coalesce("id", -1 - F.ascii("piece")).alias("i"), F.coalesce("score", F.lit(vocabulary.unknown)).alias("s"))
-    ends = found.groupBy("unit", "e").agg(F.collect_list(edge).alias("edges"))
-    grouped = ends.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("e", "edges"))).alias("places"))
-    # state: the best score of every position so far, and the last piece (length, code) of its best path
-    start = F.expr("named_struct('s', array(0D), 'last', cast(array() as array<struct<l:int,i:int>>))")
-
-    def step(a, place):
-        options = F.transform(place["edges"], lambda x: F.struct((F.get(a["s"], place["e"] - x["l"]) + x["s"]).alias("s"), (-x["l"]).alias("l"), x["i"].alias("i")))
-        best = F.transform(F.array(F.array_max(options)), lambda o: F.struct(F.concat(a["s"], F.array(o["s"])).alias("s"), F.concat(a["last"], F.array(F.struct((-o["l"]).alias("l"), o["i"].alias("i")))).alias("last")))
-        return F.get(best, F.lit(0))
+    spans = spans.select("unit", "at", F.explode(F.expr(f"sequence(1, least({vocabulary.reach}, size - at + 1))")).alias("len"))
+    spans = spans.withColumn("piece", F.substr("unit", "at", "len")).withColumn("h", F.xxhash64("piece"))
+    # hashes of pieces are distinct (Vocabulary); a hash that another substring shares finds no piece
+    found, same = spans.join(F.broadcast(table), "h", "left").where("len = 1 or name = piece"), F.col("name") == F.col("piece")
+    code, score = F.coalesce(F.when(same, F.col("id")), -1 - F.ascii("piece")), F.coalesce(F.when(same, F.col("score")), F.lit(vocabulary.unknown))
+    edge = F.struct((F.col("at") + F.col("len") - 1).alias("e"), F.col("len").alias("l"), code.alias("i"), score.alias("s"))
+    grouped = found.groupBy("unit").agg(F.collect_list(edge).alias("edges"))
+    # state: score and last edge of the best path to each finished position, and b, x: those of the one in hand. Every
+    # position begins with its single character, which finishes the position before it.
+    kind = "struct<e:int,l:int,i:int,s:double>"
+    start = F.expr(f"named_struct('s', cast(array() as array<double>), 'last', cast(array() as array<{kind}>), 'b', 0D, 'x', cast(null as {kind}))")
+
+    def step(a, x):
+        new = F.struct(F.concat(a["s"], F.array(a["b"])).alias("s"), F.concat(a["last"], F.array(a["x"])).alias("last"), (a["b"] + x["s"]).alias("b"), x.alias("x"))
+        far = F.get(a["s"], x["e"] - x["l"]) + x["s"]
+        better = F.struct(a["s"].alias("s"), a["last"].alias("last"), far.alias("b"), x.alias("x"))
+        return F.when(x["l"] == 1, new).when(far > a["b"], better).otherwise(a)
 
     def back(a, x):
-        return F.when(a["skip"] > 0, F.struct((a["skip"] - 1).alias("skip"), a["codes"].alias("codes"))).otherwise(F.struct((x["l"] - 1).alias("skip"), F.concat(F.array(x["i"]), a["codes"]).alias("codes")))
+        return F.when(x["e"] == a["at"], F.struct((x["e"] - x["l"]).alias("at"), F.concat(a["codes"], F.array(x["i"])).alias("codes"))).otherwise(a)
 
-    codes = F.aggregate(F.reverse(F.aggregate("places", start, step, lambda a: a["last"])), F.expr("named_struct('skip', 0, 'codes', cast(array() as array<int>))"), back, lambda a: a["codes"])
+    path = F.aggregate(F.sort_array("edges"), start, step, lambda a: F.reverse(F.concat(a["last"], F.array(a["x"]))))
+    codes = F.aggregate(path, F.expr("named_struct('at', length(unit), 'codes', cast(array() as array<int>))"), back, lambda a: F.reverse(a["codes"]))
     return grouped.select("unit", codes.alias("codes"))
 
 
@@ -228,8 +249,9 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     key = f"{shared._jbroadcast.id()}-{spark.sparkContext.applicationId}"
 
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-    cold = dealt.mapInArrow(_cold(shared, key, vocabulary.joined), "block long, unit string").repartition(max(8, blocks // 2), "unit")
-    made = lattice(cold.select("unit").distinct(), vocabulary)
+    cold = dealt.mapInArrow(_cold(shared, key, vocabulary.joined), "block long, unit string").where("unit is not null").repartition(max(8, blocks // 2), "unit")
+    # no block is negative: the filter makes both uses of cold read the same columns, so that its shuffle is made once
+    made = lattice(cold.groupBy("unit").agg(F.min("block").alias("least")).where("least >= 0").select("unit"), vocabulary)
     byte_ids = vocabulary.byte_ids
 
     def pack(batches):
