@@ -1,7 +1,7 @@
 """The corpus pipeline: quality, language, near duplicates, source mixing, token ids.
 
 Each stage takes (spark, docs, sf_dir) and works on every row that its predecessor kept; all but the last return the
-columns of documents. Empty tables pass through; extra columns stay; nulls are treated as each operator's docstring says.
+columns of documents. The mixture is an order: the last stage's rows come in it, as read and as written in part files. Empty tables pass through; extra columns stay; nulls are treated as each operator's docstring says.
 """
 
 from __future__ import annotations
@@ -42,9 +42,23 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return in_mix_order(docs)
 
 
+def placed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs with their place in the order they were written in; what is no plain table of files is written first."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = Scratch(spark, "order").keep(docs)
+    named = docs.select("*", F.col("_metadata.file_path").alias("place_file"), F.col("_metadata.row_index").alias("place_row"))
+    sizes = {r.place_file: r.n for r in named.groupBy("place_file").agg((F.max("place_row") + 1).alias("n")).collect()}  # one row a file
+    starts, at = [], 0
+    for file in sorted(sizes, key=lambda f: (len(f), f)):  # part files are numbered in order
+        starts.append((file, at))
+        at += sizes[file]
+    starts = spark.createDataFrame(starts, "place_file string, place_start long")
+    return named.join(F.broadcast(starts), "place_file").select(*docs.columns, (F.col("place_start") + F.col("place_row")).alias("place"))
+
+
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids of every document."""
-    return encode(docs).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """doc_id, n_tokens and ids of every document, in the order of docs, which is the mixture's."""
+    return encode(placed(spark, docs.select("doc_id", "text") if "place" in docs.columns else docs), place="place").select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 STAGES = [("quality_classifier", judge_quality), ("language_id", identify_language), ("ngram_jaccard_join", drop_near_duplicates), ("source_mixing", mix), ("sentencepiece", encode_pieces)]

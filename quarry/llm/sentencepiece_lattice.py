@@ -199,9 +199,10 @@ def _packed():
     def run(batches):
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            own: dict[int, tuple[list, list]] = {}
-            for block, doc_id, t in zip(batch.column("block").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids, texts = own.setdefault(block, ([], []))
+            own: dict[int, tuple[list, list, list]] = {}
+            for block, place, doc_id, t in zip(batch.column("block").to_pylist(), batch.column("place").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                places, ids, texts = own.setdefault(block, ([], [], []))
+                places.append(place)
                 ids.append(doc_id)
                 texts.append(t.as_py())
             yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array([press.compress(pickle.dumps(x, 5)) for x in own.values()], pa.binary())], names=["block", "docs"])
@@ -214,15 +215,16 @@ def _assembled(shared, key: str, joined: set[str]):
         hot = _dictionary(shared, key)
         more = dict(zip(cold.column("unit").to_pylist(), cold.column("ids").to_pylist(), strict=True))
         unpress, known = zstandard.ZstdDecompressor(), {}
-        doc_ids, parts, ends, at = [], [], [0], 0
+        places, doc_ids, parts, ends, at = [], [], [], [0], 0
 
         def ids_of(word: str) -> bytes:
             known[word] = own = b"".join([hot[u] if u in hot else more[u] for u in units_of(word, joined)])
             return own
 
         for x in docs.column("docs"):
-            for doc_id, text in zip(*pickle.loads(unpress.decompress(x.as_py())), strict=True):
+            for place, doc_id, text in zip(*pickle.loads(unpress.decompress(x.as_py())), strict=True):
                 own = b"".join([known[w] if w in known else ids_of(w) for w in words_of(text)])
+                places.append(place)
                 doc_ids.append(doc_id)
                 parts.append(own)
                 at += len(own) // 4
@@ -230,16 +232,19 @@ def _assembled(shared, key: str, joined: set[str]):
             if len(known) > MEMO:
                 known.clear()
         ids = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.frombuffer(b"".join(parts), np.int32))).cast(pa.list_(pa.int32()))
-        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": ids})
+        return pa.table({"place": pa.array(places, pa.int64()), "doc_id": pa.array(doc_ids, pa.int64()), "ids": ids})
 
     return run
 
 
-def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """doc_id, ids array<int> for every row of docs(doc_id, text)."""
+def encode(docs: DataFrame, model: str = MODEL, place: str | None = None) -> DataFrame:
+    """doc_id, ids array<int> for every row of docs(doc_id, text).
+
+    place: a column of places from 0 on without large gaps; then blocks are stretches of places and rows come in their order.
+    """
     spark, vocabulary = docs.sparkSession, Vocabulary.load(model)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n = docs.count()
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.col(place) if place else F.lit(0)).cast("long").alias("place"))
+    n = docs.count() if place is None else (docs.agg(F.max("place")).first()[0] or 0) + 1
     blocks = max(1, -(-n // BLOCK_DOCS))
     seen = bounded_sample(docs, SAMPLE_DOCS, F.col("doc_id")).select("text").mapInArrow(_count_units(vocabulary.joined), "unit string, n long")
     frequent = seen.groupBy("unit").agg(F.sum("n").alias("n")).where(f"n > 1 and length(unit) <= {HOT_LENGTH} and instr(unit, '\\0') = 0").orderBy(F.desc("n"), "unit").limit(HOT_UNITS).select("unit").repartition(max(8, min(64, blocks)), "unit")
@@ -248,7 +253,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     shared = spark.sparkContext.broadcast(("\x00".join(known.column("unit").to_pylist()), np.cumsum([len(p) for p in packed]).tolist(), b"".join(packed)))
     key = f"{shared._jbroadcast.id()}-{spark.sparkContext.applicationId}"
 
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
+    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)) if place is None else F.floor(F.col("place") / BLOCK_DOCS))
     cold = dealt.mapInArrow(_cold(shared, key, vocabulary.joined), "block long, unit string").where("unit is not null").repartition(max(8, blocks // 2), "unit")
     # no block is negative: the filter makes both uses of cold read the same columns, so that its shuffle is made once
     made = lattice(cold.groupBy("unit").agg(F.min("block").alias("least")).where("least >= 0").select("unit"), vocabulary)
@@ -259,7 +264,10 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("unit"), pa.array([_ids(c, byte_ids) for c in batch.column("codes").to_pylist()], pa.binary())], names=["block", "unit", "ids"])
 
     told = cold.join(made, "unit").select("block", "unit", "codes").mapInArrow(pack, "block long, unit string, ids binary")
-    return dealt.mapInArrow(_packed(), "block long, docs binary").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_assembled(shared, key, vocabulary.joined), "doc_id long, ids array<int>")
+    out = dealt.mapInArrow(_packed(), "block long, docs binary").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_assembled(shared, key, vocabulary.joined), "place long, doc_id long, ids array<int>")
+    if place is not None:
+        out = out.repartitionById(blocks, F.floor(F.col("place") / BLOCK_DOCS).cast("int")).sortWithinPartitions("place")
+    return out.select("doc_id", "ids")
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:

@@ -1,4 +1,8 @@
+from test_ngram_join import brute
+
 import corpus_pipeline
+from quarry.llm import sentencepiece_lattice as sp
+from quarry.llm.mixing import mix_sources
 
 
 def test_stages_keep_columns_and_take_effect(documents, spark, tables):
@@ -16,3 +20,29 @@ def test_stages_keep_columns_and_take_effect(documents, spark, tables):
 def test_run(spark, tables):
     out = corpus_pipeline.run(spark, tables)
     assert out.columns == ["doc_id", "n_tokens", "ids"] and out.count() > 100
+
+
+def test_run_equals_brute_force_in_the_order_of_the_mixture(spark, tables):
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    for stage in (corpus_pipeline.judge_quality, corpus_pipeline.identify_language):  # trained: taken as they are
+        docs = spark.createDataFrame(stage(spark, docs, tables).collect(), docs.schema)
+    rows = docs.collect()
+    first = {doc_id for doc_id, _, least in brute(rows) if doc_id is not None and doc_id == least}
+    left = spark.createDataFrame([r for r in rows if r.doc_id in first], docs.schema)
+    order = sorted(mix_sources(left).collect(), key=lambda r: (r.mix_slot, r.mix_position))
+    vocabulary, known = sp.Vocabulary.load(), {}
+    want = []
+    for r in order:
+        words = sp.words_of(r.text)
+        known |= {w: sp.best_path(w, vocabulary) for w in words if w not in known}
+        ids = [i for w in words for i in known[w]]
+        want.append((r.doc_id, len(ids), ids))
+    assert [tuple(r) for r in corpus_pipeline.run(spark, tables).collect()] == want
+
+
+def test_encoding_keeps_the_order_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sp, "BLOCK_DOCS", 16)
+    docs = spark.createDataFrame([(i * 7919 % 1009, f"text {i}") for i in range(1009)], "doc_id long, text string").repartition(7).sortWithinPartitions("text")
+    docs = corpus_pipeline.Scratch(spark, "test").keep(docs.orderBy("text", "doc_id"))
+    want = [i * 7919 % 1009 for i in sorted(range(1009), key=lambda i: f"text {i}")]
+    assert [r.doc_id for r in corpus_pipeline.encode_pieces(spark, docs, "").collect()] == want
