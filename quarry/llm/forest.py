@@ -7,7 +7,11 @@ met. Candidates are scored exactly in double precision on the original vectors;
 
 Inner products become angles by one more dimension, sqrt(M^2 - |x|^2), M being the largest norm. How far to ascend is
 measured, not guessed: a bounded sample of queries is held against brute force over all rows, and the depth doubles until
-the sample's recall reaches `recall`. Every row is indexed, every query sees every block.
+the sample's recall reaches `recall`. Every distinct vector is indexed, every query sees every block.
+
+Copies have one score and ties go to the smaller vec_id, so a vector is indexed once, with the k + 1 smallest of its
+vec_ids (one may be the query's own) and how often each comes, and is expanded after the search: exact for any number of
+copies. Distinct vectors of one hash string in a tree are one place, taken as a whole.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite component take no part, neither does a
 null vec_id; a query sees rows of its own length only; rows with the query's vec_id are never its neighbours; other
@@ -21,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.llm.scratch import Scratch
+
 TREES, BITS = 64, 64
 #: Rows of a block, queries of a task, and queries that the depth is measured on.
 BLOCK_ROWS, BLOCK_QUERIES, MEASURED = 16384, 4096, 96
@@ -43,29 +49,44 @@ def strings(x: np.ndarray, tree: int) -> np.ndarray:
     return np.packbits(bits, axis=1).view(">u8")[:, 0].astype(np.uint64)
 
 
+def distinct(rows: DataFrame, k: int) -> DataFrame:
+    """v, members array<struct<vec_id, n>> of rows(vec_id, v): the k + 1 smallest vec_ids of each vector, n at most k."""
+    counted = rows.groupBy("v", "vec_id").agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("n"))
+    first = counted.withColumn("rn", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("rn") <= k + 1)
+    return first.groupBy("v").agg(F.array_sort(F.collect_list(F.struct("vec_id", "n"))).alias("members"))
+
+
 class Forest:
-    def __init__(self, ids: np.ndarray, rows: np.ndarray, largest: float):
-        self.ids, self.rows = ids, rows
+    def __init__(self, members: list, rows: np.ndarray, largest: float, trees: int = TREES):
+        self.rows = rows
+        self.members = [(np.array([m["vec_id"] for m in own], np.int64), np.array([m["n"] for m in own], np.int64)) for own in members]
+        self.single = np.array([len(ids) == 1 for ids, _ in self.members], bool)
+        self.plain = self.single & np.array([n[0] == 1 for _, n in self.members], bool)
+        self.ids = np.array([ids[0] for ids, _ in self.members], np.int64)
+        self.next = np.array([ids[-1] if len(ids) == 1 else ids[1] for ids, _ in self.members], np.int64)
         more = np.sqrt(np.maximum(largest**2 - (rows * rows).sum(1), 0))
         full = np.hstack([rows, more[:, None]])
         self.trees = []
-        for t in range(TREES):
+        for t in range(trees):
             s = strings(full, t)
             order = np.argsort(s, kind="stable")
-            self.trees.append((s[order], order))
+            keys, starts = np.unique(s[order], return_index=True)
+            self.trees.append((keys, np.append(starts, len(order)), order))
 
-    def candidates(self, queries: np.ndarray, depth: int):
-        """For each query the rows that all trees have met when each has `depth` of them."""
+    def candidates(self, queries: np.ndarray, depth: int) -> np.ndarray:
+        """For each query a mark on the rows that all trees have met when each has `depth` hash strings with all their rows."""
         full = np.hstack([queries, np.zeros((len(queries), 1))])
-        n = len(self.ids)
-        reach = min(depth, n)
-        found = np.empty((len(queries), TREES, reach), np.int32)
-        for t, (keys, order) in enumerate(self.trees):
-            own = strings(full, t)
+        marks = np.zeros((len(queries), len(self.ids)), bool)
+        for t, (keys, starts, order) in enumerate(self.trees):
+            own, reach = strings(full, t), min(depth, len(keys))
             # the longest matches stand around the query's own place; ascending takes the side with the longer prefix first
-            at = np.searchsorted(keys, own)
-            found[:, t, :] = order[self._ascend(keys, own, at, reach)[:, None] + np.arange(reach)]
-        return found
+            low = self._ascend(keys, own, np.searchsorted(keys, own), reach)
+            if len(keys) == len(order):
+                marks[np.arange(len(queries))[:, None], order[low[:, None] + np.arange(reach)]] = True
+            else:
+                for mark, a, b in zip(marks, starts[low], starts[low + reach], strict=True):
+                    mark[order[a:b]] = True
+        return marks
 
     @staticmethod
     def _ascend(keys: np.ndarray, own: np.ndarray, at: np.ndarray, reach: int) -> np.ndarray:
@@ -82,17 +103,30 @@ class Forest:
 
     def nearest(self, ids: np.ndarray, queries: np.ndarray, k: int, depth: int):
         for first in range(0, len(ids), 64):
-            found = self.candidates(queries[first : first + 64], depth)
-            for i, seen in enumerate(found):
-                mark = np.zeros(len(self.ids), bool)
-                mark[seen.reshape(-1)] = True
-                mark &= self.ids != ids[first + i]
-                c = np.flatnonzero(mark)
-                score = self.rows[c] @ queries[first + i]
-                if len(c) > k:
-                    c, score = (x[score >= np.partition(score, len(score) - k)[len(score) - k]] for x in (c, score))
-                best = np.lexsort((self.ids[c], -score))[:k]
-                yield ids[first + i], self.ids[c][best], score[best]
+            for i, mark in enumerate(self.candidates(queries[first : first + 64], depth), first):
+                yield ids[i], *self._best(np.flatnonzero(mark), ids[i], queries[i], k)
+
+    def _best(self, c: np.ndarray, own: int, query: np.ndarray, k: int):
+        """The k best members, without the query's own, of the vectors c."""
+        c = c[~(self.single[c] & (self.ids[c] == own))]
+        score = self.rows[c] @ query
+        if len(c) > k:
+            c, score = (x[score >= np.partition(score, len(score) - k)[len(score) - k]] for x in (c, score))
+        least = np.where(self.ids[c] == own, self.next[c], self.ids[c])
+        best = np.lexsort((least, -score))[:k]
+        c, score, least = c[best], score[best], least[best]
+        if self.plain[c].all():
+            return least, score
+        told = [(m[m != own], n[m != own]) for m, n in (self.members[j] for j in c)]
+        ids = [np.repeat(m, n)[:k] for m, n in told]
+        ids, score = np.concatenate(ids), np.repeat(score, [len(m) for m in ids])
+        best = np.lexsort((ids, -score))[:k]
+        return ids[best], score[best]
+
+    def all(self, ids: np.ndarray, queries: np.ndarray, k: int):
+        """Brute force, for the sample that the depth is measured on."""
+        for own, query in zip(ids, queries, strict=True):
+            yield own, *self._best(np.arange(len(self.ids)), own, query, k)
 
 
 def _hits(k: int, depth: int, largest: float, exact: bool):
@@ -101,26 +135,19 @@ def _hits(k: int, depth: int, largest: float, exact: bool):
     def run(key, rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(queries):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        ids, x = rows["vec_id"].to_numpy(np.int64), np.stack(rows["v"].to_numpy())
+        members, x = rows["members"].tolist(), np.stack(rows["v"].to_numpy())
         qid, q = queries["vec_id"].to_numpy(np.int64), np.stack(queries["v"].to_numpy())
-        out = list(Forest(ids, x, largest).nearest(qid, q, k, depth)) if not exact else list(_all(ids, x, qid, q, k))
+        forest = Forest(members, x, largest, 0 if exact else TREES)
+        out = list(forest.nearest(qid, q, k, depth) if not exact else forest.all(qid, q, k))
         return pd.DataFrame({"query_id": np.repeat([o[0] for o in out], [len(o[1]) for o in out]), "vec_id": np.concatenate([o[1] for o in out]), "score": np.concatenate([o[2] for o in out])})
 
     return run
 
 
-def _all(ids, x, qid, q, k):
-    """Brute force, for the sample that the depth is measured on."""
-    for i, s in enumerate(q @ x.T):
-        s = np.where(ids == qid[i], -np.inf, s)
-        best = np.lexsort((ids, -s))[:k]
-        yield qid[i], ids[best][np.isfinite(s[best])], s[best][np.isfinite(s[best])]
-
-
 def _search(rows: DataFrame, queries: DataFrame, n_rows: int, n_queries: int, k: int, depth: int, largest: float, exact: bool = False) -> DataFrame:
     blocks, parts = -(-n_rows // BLOCK_ROWS), max(1, -(-n_queries // BLOCK_QUERIES))
     wide = F.size("v").alias("dim")
-    x = rows.select("vec_id", "v", wide, F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    x = rows.select("members", "v", wide, F.pmod(F.xxhash64("v"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
     q = queries.select("vec_id", "v", wide, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts)).cast("int").alias("part"))
     hits = x.groupBy("dim", "block", "part").cogroup(q.groupBy("dim", "block", "part")).applyInPandas(_hits(k, depth, largest, exact), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -131,10 +158,11 @@ def hash_prefix_forest(vectors: DataFrame, queries: DataFrame, k: int = 20, reca
     """query_id, rank, vec_id, score: the k rows of vectors found nearest to each row of queries."""
     rows, asked = usable(vectors, id_col, vec_col), usable(queries, id_col, vec_col).dropDuplicates(["vec_id"])
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    rows = Scratch(rows.sparkSession, "forest").keep(distinct(rows, k))  # read by every measured depth
     n_rows, largest = rows.agg(F.count(F.lit(1)), F.max(norm)).first()
     n_queries = asked.count()
     if not n_rows or not n_queries:
-        return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).where("false")
+        return asked.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).where("false")
     sample = asked.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(MEASURED)
     wanted = {(r.query_id, r.vec_id) for r in _search(rows, sample, n_rows, MEASURED, k, 0, largest, exact=True).collect()}
     depth = 32

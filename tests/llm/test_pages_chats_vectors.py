@@ -69,6 +69,27 @@ def test_forest(spark):
     assert len(hash_prefix_forest(few, few).collect()) == 20 and hash_prefix_forest(frame.limit(0), frame).collect() == []
 
 
+def test_forest_expands_copies_exactly(spark):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(1500, 16))
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    for i in range(1500):
+        if i % 5 < 3:  # three groups of 300 copies
+            x[i] = x[i % 5]
+    ids = r.permutation(1500)
+    rows = [(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)]
+    rows += [rows[0], rows[0], rows[5]]  # repeated rows
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    asked = sorted(int(i) for i in ids[[0, 5, 10, 1, 6, 2, 7]])
+    found = {}
+    for g in sorted(hash_prefix_forest(frame, frame.where(F.col("vec_id").isin(asked))).collect(), key=lambda g: g.rank):
+        found.setdefault(g.query_id, []).append(g.vec_id)
+    vectors = dict(rows)
+    for q in asked:
+        best = sorted((-round(float(np.dot(v, vectors[q])), 9), i) for i, v in rows if i != q)[:20]
+        assert found[q] == [i for _, i in best]
+
+
 def test_urls(spark):
     rows = [(1, "HTTP://A.Example.NET", '<a href="http://b.org/x">'), (2, "http://b.org/fr/1?x", "<a href=https://spam.net/>"), (3, "http://spam.net/a", "<a  href='http://z.com'>"), (4, "http://z.com#x", None), (5, None, None), (6, "none", "x"), (None, "://", ""), (7, "https://w.example.net/en/a?b", ""), (7, "https://w.example.net/en/a?b", ""), (8, "https://notexample.net/en/", ""), (9, "https://x.example.com/de/1#f", "")]
     frame = spark.createDataFrame([(*r, 0) for r in rows], "page_id long, url string, html string, host int")
