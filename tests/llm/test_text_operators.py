@@ -1,5 +1,7 @@
 import hashlib
+import itertools
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -7,7 +9,7 @@ import pytest
 from quarry.llm import language_id, quality
 from quarry.llm import sentencepiece_lattice as sp
 from quarry.llm.media import media_column, media_digest, padded
-from quarry.llm.mixing import mix_sources, quantised, schedule
+from quarry.llm.mixing import deal, mix_sources, quantised, schedule
 from quarry.llm.progressive_jpeg import decode, encode_bytes, rgb, stored_bytes
 
 
@@ -57,6 +59,23 @@ def test_schedule_stays_within_a_block():
             assert all(abs(done[k] - slots[k] * (t + 1) / 200) < 1 for k in slots)
 
 
+def test_mixture_stays_within_a_block_of_exact_weights(spark):
+    weights = [0.26931, 0.0001, 0.33059, 0.4]
+    total, done = sum(map(Fraction, weights)), [0] * 4
+    for t, (slot, i, j) in enumerate(itertools.islice(deal([(w, 10**9) for w in weights]), 60_000)):
+        assert (slot, j) == (t, done[i])
+        done[i] += 1
+        assert all(abs(n - Fraction(w) / total * (t + 1)) < 1 for n, w in zip(done, weights, strict=True))
+    assert [x[1] for x in deal([(0.0, 2), (1.0, 3)])] == [1, 1, 1, 0, 0]
+    # through Spark: many periods of the old schedule, one document a block
+    docs = spark.range(8000).selectExpr("id as doc_id", "case when id < 2155 then 'a' when id < 2156 then 'b' when id < 4800 then 'c' else 'd' end as source")
+    order = [r.mix_lane for r in sorted(mix_sources(docs, dict(zip("abcd", weights, strict=True)), block_docs=1).collect(), key=lambda r: r.mix_slot)][:7900]
+    seen = dict.fromkeys("abcd", 0)
+    for t, k in enumerate(order):
+        seen[k] += 1
+        assert all(abs(seen[k] - w * (t + 1)) < 1.001 for k, w in zip("acd", (weights[0], *weights[2:]), strict=True))
+
+
 def test_mixing_places_every_row(documents):
     got = mix_sources(documents, block_docs=4, period=50).collect()
     assert len(got) == documents.count() and set(got[0].asDict()) == {*documents.columns, "mix_lane", "mix_position", "mix_block", "mix_slot"}
