@@ -8,7 +8,7 @@ entry for each source and skips idle slots; it is dealt to the rows' buckets as
 document's place in its source is needed, which is counted over bounded buckets of a hash order: a source with a third of
 all rows is many buckets, and no task sees a whole source.
 
-Defined results: every row comes back once, repeated rows too; sources beyond half the period share the lane '*'; a null or empty source is the source ''; sources missing
+Defined results: every row comes back once, repeated rows too; a null or empty source is the source ''; sources missing
 from given weights share the weight of the lane '*', each with its own part by number of documents and its own deadlines;
 sources without a positive weight come after all others; a source that ends leaves its slots idle, the others' windows
 stay; a null doc_id is ordered like any other value; empty in, empty out.
@@ -111,15 +111,12 @@ def _slots(weights: dict[str, float] | None, block_docs: int):
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, period: int = PERIOD, block_docs: int = BLOCK_DOCS, id_col: str = "doc_id") -> DataFrame:
     """docs with mix_lane, mix_position (place in the source), mix_block and mix_slot added; order by mix_slot, mix_position.
 
-    All columns of docs are kept; those of the new names are replaced. period bounds the number of lanes.
+    All columns of docs are kept; those of the new names are replaced. period has no effect any more:
+    no weight is rounded to it and it bounds no number of sources.
     """
     new = ["mix_lane", "mix_position", "mix_block", "mix_slot"]
     docs = docs.drop(*new)
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    if weights is None:
-        sizes = docs.groupBy(source.alias("mix_lane")).agg(F.count(F.lit(1)).alias("n"))
-        top = [r.mix_lane for r in sizes.orderBy(F.desc("n"), "mix_lane").limit(period // 2).collect()]  # bounded by the period
-        source = F.when(source.isin(top), source).otherwise(F.lit(REST))
     named = docs.withColumn("mix_source", source)
     sizes = named.groupBy("mix_source").agg(F.count(F.lit(1)).alias("n"))
     slots = sizes.repartition(1).mapInPandas(_slots(weights, block_docs), "mix_source string, block long, slot long")

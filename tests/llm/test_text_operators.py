@@ -76,6 +76,18 @@ def test_mixture_stays_within_a_block_of_exact_weights(spark):
         assert all(abs(seen[k] - w * (t + 1)) < 1.001 for k, w in zip("acd", (weights[0], *weights[2:]), strict=True))
 
 
+def test_every_one_of_many_sources_has_its_own_deadlines(spark):
+    sizes = {f"s{i}": 1 + i % 7 for i in range(1200)} | {"*": 9, "big": 700}
+    docs = spark.createDataFrame([(i, k) for i, k in enumerate(k for k, n in sizes.items() for _ in range(n))], "doc_id long, source string")
+    total = sum(Fraction(n**0.7) for n in sizes.values())
+    got = mix_sources(docs, block_docs=1).collect()
+    assert {r.mix_lane for r in got} == set(sizes) and len({r.mix_slot for r in got}) == len(got) == docs.count()
+    for r in got:
+        w = Fraction(sizes[r.mix_lane] ** 0.7) / total
+        assert r.mix_block // w <= r.mix_slot < -(-(r.mix_block + 1) // w)
+    assert {r.mix_lane for r in mix_sources(docs, {"big": 2.0}, block_docs=1).collect()} == {"big", "*"}
+
+
 def test_mixing_places_every_row(documents):
     got = mix_sources(documents, block_docs=4, period=50).collect()
     assert len(got) == documents.count() and set(got[0].asDict()) == {*documents.columns, "mix_lane", "mix_position", "mix_block", "mix_slot"}
