@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
 from functools import reduce
+from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,19 +91,43 @@ def fuse(lists: DataFrame, k: int = RRF_K) -> DataFrame:
 def fuse_scored(scored: DataFrame, other: DataFrame, by: str, k: int = RRF_K, candidates: int | None = None) -> DataFrame:
     """scored with its score replaced by the fusion of its own order with other(path, <by>)'s order.
 
-    candidates: with a minimum score t only the best 2 / t ranks of either list can pass; then the lists are cut there by
-    top-k (exact ranks of what is kept), and no global order of all rows is formed.
+    candidates: with a minimum score t only files among the best 2 / t ranks of one list can pass. Then those of either
+    list are chosen by top-k, their ranks in both lists are counted exactly over all rows, and no global order of all rows
+    is formed; what is not chosen cannot pass and gets the score 0.
     """
     both = scored.join(other.select("path", by), "path", "left")
     if candidates is None:
-        base, more = ranked(scored), ranked(other, by)
+        r1, r2 = ranked(scored), ranked(other, by)
     else:
-        base, more = (ranked(x.orderBy(F.desc(c), "path").limit(candidates), c) for x, c in ((scored, "score"), (other, by)))
-    r1, r2 = base.select("path", F.col("rank").alias("r1")), more.select("path", F.col("rank").alias("r2"))
+        lists = (scored, "score"), (other, by)
+        best = [x.orderBy(F.desc(c), "path").limit(candidates).select("path") for x, c in lists]
+        chosen = scored.sparkSession.createDataFrame(best[0].union(best[1]).distinct().collect(), "path string")  # 2 * candidates at most
+        r1, r2 = (F.broadcast(exact_ranks(x, c, chosen)) for x, c in lists)
+    r1, r2 = r1.select("path", F.col("rank").alias("r1")), r2.select("path", F.col("rank").alias("r2"))
     share = lambda c: F.coalesce(1.0 / (k + F.col(c)), F.lit(0.0))
     return both.join(r1, "path", "left").join(r2, "path", "left").withColumn("score", share("r1") + share("r2")).drop("r1", "r2")
 
 
+def exact_ranks(scored: DataFrame, by: str, chosen: DataFrame) -> DataFrame:
+    """path, rank of the chosen paths in the order of ranked() of all rows: the rows before each are counted, not ordered."""
+    own = scored.select(F.col(by).cast("double").alias("by"), "path")
+
+    def key(score, path):
+        return (True, 0.0, path.encode()) if score is None else (False, -score, path.encode())
+
+    keys = sorted(key(r.by, r.path) for r in own.join(F.broadcast(chosen), "path", "left_semi").collect())
+
+    def run(batches):
+        counts = Counter()
+        for batch in batches:
+            counts.update(bisect_right(keys, key(*r)) for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        yield pa.RecordBatch.from_pydict({"place": pa.array(list(counts), pa.int32()), "n": pa.array(list(counts.values()), pa.int64())})
+
+    before = {r.place: r.n for r in own.mapInArrow(run, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()}
+    ranks = accumulate(before.get(i, 0) for i in range(len(keys)))
+    return scored.sparkSession.createDataFrame([(path.decode(), n + 1) for (_, _, path), n in zip(keys, ranks, strict=True)], "path string, rank long")
+
+
 def recency(commits: DataFrame, days: int = 90) -> DataFrame:
     """path, recency of commits(path, ts): ln(1 + n) / ln(1 + most) over the last days before the newest commit."""
     newest = commits.agg(F.max("ts").alias("newest"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,10 +24,11 @@ def build_index(files: DataFrame, existing: Index | None = None, rounds: int | N
     return Index.build(own, normalised(pagerank(import_edges(own), nodes, rounds)), existing)
 
 
-def score_files(files: DataFrame, task: str, how: Preset, ranks: DataFrame | None = None) -> DataFrame:
+def score_files(files: DataFrame, task: str, how: Preset, ranks: DataFrame | None = None, least: float = 0.0) -> DataFrame:
+    """files with their scores, exact where they are at least `least`."""
     scored = hybrid(files, task)
     if how.structural and ranks is not None:
-        reach = int(2 / how.min_score) - RRF_K if how.min_score > 0 else None
+        reach = max(1, math.ceil(2 / least) - RRF_K + 1) if least > 0 else None
         scored = fuse_scored(scored, ranks, "pagerank", candidates=reach)
     return scored
 
@@ -33,8 +36,9 @@ def score_files(files: DataFrame, task: str, how: Preset, ranks: DataFrame | Non
 def query(files: DataFrame, task: str, preset_name: str = "balanced", index: Index | None = None, top: int | None = None, max_bytes: int | None = None, max_tokens: int | None = None, min_score: float | None = None) -> DataFrame:
     """The files that serve a task best, within the budget: path, language, role, tokens, scores, rank."""
     how = preset(preset_name)
-    scored = score_files(files, task, how, index.pagerank if index else None)
-    return select_files(scored, how.min_score if min_score is None else min_score, top, how.max_bytes if max_bytes is None else max_bytes, max_tokens)
+    least = how.min_score if min_score is None else min_score
+    scored = score_files(files, task, how, index.pagerank if index else None, least)
+    return select_files(scored, least, top, how.max_bytes if max_bytes is None else max_bytes, max_tokens)
 
 
 def quick(files: DataFrame, task: str, preset_name: str = "balanced", **options) -> DataFrame:
@@ -45,7 +49,8 @@ def quick(files: DataFrame, task: str, preset_name: str = "balanced", **options)
 
 def explain(files: DataFrame, task: str, top: int = 10, preset_name: str = "balanced", index: Index | None = None) -> DataFrame:
     """The parts of the best scores; no minimum, no budget."""
-    return score_files(files, task, preset(preset_name), index.pagerank if index else None).orderBy(F.desc("score"), "path").limit(top)
+    least = 1 / (RRF_K + max(1, top))  # the fused score of the top rows is no less
+    return score_files(files, task, preset(preset_name), index.pagerank if index else None, least).orderBy(F.desc("score"), "path").limit(top)
 
 
 def inspect(files: DataFrame, index: Index | None) -> tuple[DataFrame, DataFrame]:

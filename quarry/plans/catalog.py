@@ -228,7 +228,7 @@ def _deep(name: str):
     def run(s, d):
         own = code(s, d)
         files = src.described(own.withColumn("size", F.octet_length("content").cast("long")).withColumn("sha256", F.sha2("content", 256)).drop("language"))
-        return api.query(files, TASK, name, api.build_index(files, rounds=10)).select("path", F.round("score", 6).alias("score"), "tokens", F.col("rank").cast("long").alias("rank"))
+        return api.query(files, TASK, name, api.build_index(files)).select("path", F.round("score", 6).alias("score"), "tokens", F.col("rank").cast("long").alias("rank"))
 
     query(None, f"preset_{name}")(run)
 

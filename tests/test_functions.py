@@ -72,3 +72,15 @@ def test_scan_reads_a_folder(spark, tmp_path):
         (tmp_path / name).write_text(text)
     out = {r.path: (r.size, r.language, r.role) for r in scan(spark, str(tmp_path)).collect()}
     assert out == {"src/main.rs": (12, "rust", "impl"), "tests/a_test.rs": (1, "rust", "test"), ".gitignore": (16, "other", "config")}
+
+
+def test_fusion_by_candidates_equals_uncut_fusion(spark):
+    from quarry.operators.scoring import fuse_scored
+
+    n = 2500
+    scored = spark.createDataFrame([(f"p{i:04}", round(1 / (1 + i // 3), 6)) for i in range(n)], "path string, score double").repartition(5)
+    other = spark.createDataFrame([(f"p{i:04}", float(i * 1237 % 2503 // 2)) for i in range(n) if i % 11], "path string, pagerank double").repartition(3)
+    for least, reach in ((0.005, 341), (0.001, 1941)):
+        want = {r.path: round(r.score, 12) for r in fuse_scored(scored, other, "pagerank").collect() if r.score >= least}
+        got = {r.path: round(r.score, 12) for r in fuse_scored(scored, other, "pagerank", candidates=reach).collect() if r.score >= least}
+        assert got == want and len(want) > 100
