@@ -6,16 +6,20 @@ import html
 import re
 
 #: Elements whose content is not text, that have no content, and that do not end a block.
-RAW = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "noembed", "noframes", "xmp", "canvas", "audio", "video"}
+RAW = {"script", "style", "iframe", "noembed", "noframes", "xmp"}
 TEXT_ONLY = {"title", "textarea"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "label",
+    "svg", "math", "object", "noscript", "canvas", "audio", "video",
 }
 #: Block tags that end an open p.
 ENDS_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 #: Elements that a new one of the same kind closes, up to the container that bounds the search.
 SELF_CLOSING = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select", "datalist"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
+#: Elements whose own kinds of elements are parts of a line, and in which a trailing / ends any element.
+FOREIGN = {"svg", "math"}
+KNOWN = RAW | TEXT_ONLY | VOID | INLINE | ENDS_P | set(SELF_CLOSING)
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|itemprop|aria-label|hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -94,6 +98,8 @@ def blocks(page: str | None) -> list[Block]:
         if name is None:
             continue
         name = name.lower()
+        if name not in KNOWN and any(n in FOREIGN for n, _ in stack):
+            continue
         if m[1] or m[4]:  # an end tag
             if name not in INLINE:
                 flush()
@@ -112,6 +118,8 @@ def blocks(page: str | None) -> list[Block]:
             continue
         attributes = m[3] if m[2] else m[6]
         if name in RAW or name in TEXT_ONLY:
+            if attributes.endswith("/") and any(n in FOREIGN for n, _ in stack):
+                continue
             flush() if name not in INLINE else None
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             if name in TEXT_ONLY:

@@ -32,6 +32,18 @@ def test_main_text_of_odd_pages(spark):
     assert main_texts(trained(), [page] * 3) == [got[1, "u"].text] * 3
 
 
+def test_only_raw_text_elements_jump():
+    told = lambda page: " ".join(b.text for b in blocks(page))
+    for tag in ('<svg class="i"/>', "<svg/>", "<math />", '<object data="x">', "<audio controls>", "<video src=v>", "<canvas>", "<svg><title/><path d='M0'/><style/></svg>"):
+        assert told(f"<article><p>One{tag}</p><p>two</p></article><p>three") == "One two three", tag
+    assert told("<p>a<math><mi>x</mi><mo>=</mo><mn>1</mn></math>b <object>c</object> <noscript>d</noscript>") == "ax=1b c d"
+    assert told("<p>a<script>b</script><style>c</style><iframe>d</iframe>e") == "a e"
+    inside = [b for b in blocks("<article><p>a <svg><text>b</text></svg></article><p>c") if any("article" in marks for marks in b.path)]
+    assert [b.text for b in inside] == ["a b"]
+    page = "<nav><a href=/>x</a></nav><article><h1>Title of it</h1><p>One two three<svg class='i'/> four five six.</p><p>Seven eight <math><mi>nine</mi></math> ten.</p></article><footer>&copy; f</footer>"
+    assert main_texts(trained(), [page]) == ["Title of it One two three four five six. Seven eight nine ten."]
+
+
 def test_chat_round_trip(spark):
     turns = [(1, 0, "system", "be [/SYS] kind"), (1, 1, "user", "</s>[INST] ok [/INST]"), (1, 2, "assistant", "</s>[INST] ok [/INST]"), (2, 0, None, None), (2, 1, "tool [SAYS] x", "<\\/s> \\ <\\\\s>"), (2, 1, "assistant", ""), (2, 1, "assistant", ""), (None, None, "user", "q"), (4, 0, "assistant", "w " * 3000)]
     turns += [(3, t, ("user", "assistant")[t % 2], f"turn {t} " + "word " * (40 * t % 150)) for t in range(60)]
