@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +13,8 @@ import pyarrow.compute as pc
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
-#: Bytes of text that are worked on at once; a longer text is a chunk of its own.
-CHUNK = 4 << 20
+#: Bytes of text that are worked on at once (arrays of some 100 bytes a byte of text); a longer text is a chunk of its own.
+CHUNK = 1 << 19
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -21,6 +23,21 @@ _LOWER[65:91] += 32
 _POWERS: dict[int, np.ndarray] = {}
 
 
+def tidy(run: Callable) -> Callable:
+    """A function over Arrow batches after which the worker, which Spark keeps, gives free memory back."""
+
+    @wraps(run)
+    def tidied(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # no glibc
+            pass
+
+    return tidied
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = x ^ (x >> U(30))

@@ -9,6 +9,9 @@ A run of k members does not become k * k pairs: two rounds compare each member w
 found so far skip what they already hold, and a last round compares every pair across components that passes the exact
 size and position bounds. So no link between components is lost, and no pair inside one is made for nothing.
 
+Sets are told apart by 128-bit prints. Nodes carry one half as their number; where two prints share that half (some hundred
+times among 1e11 sets) the print gets another number, from a table that all passes are given.
+
 Defined results: null or wordless texts have an empty set (n_shingles 0) and link with nothing; fewer than five words are
 one shingle; repeated rows come back once each; a null doc_id keeps its row and takes its component's smallest id, if any.
 Extra columns are ignored. An empty table gives an empty result.
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.arrowtext import U, mix, shingle_sets
+from quarry.llm.arrowtext import U, mix, shingle_sets, tidy
 from quarry.llm.components import connected_components
 from quarry.llm.scratch import Scratch
 
@@ -31,12 +34,25 @@ SKETCH_BITS, SKETCH_PARTS = 21, 64
 BLOOM_LEAST, BLOOM_MOST = 20, 28
 #: Hubs that each member of a run is compared with in a round, before what is left is compared with every other.
 HUBS = 6
+#: Prints that share a half and are renamed; about n * n / 2 ** 65 are expected among n sets.
+MOST_CLASHES = 1 << 20
+#: Bytes of sets that a worker gathers before it hands them on.
+SET_BYTES = 4 << 20
+
 
+def prints(keys: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """A print of a set: `bits` bits that number it, 64 more that tell apart what these do not."""
+    a = int(mix(np.asarray([keys.sum(dtype=U) + U(len(keys))], U))[0].view(np.int64))
+    return a >> (64 - bits), int(mix(keys ^ U(0xA5A5A5A5A5A5A5A5)).sum(dtype=U).view(np.int64))
 
-def prints(keys: np.ndarray) -> tuple[int, int]:
-    """A 128-bit print of a set."""
-    a = mix(np.asarray([keys.sum(dtype=U) + U(len(keys))], U))[0]
-    return int(np.int64(a.view(np.int64))), int(mix(keys ^ U(0xA5A5A5A5A5A5A5A5)).sum(dtype=U).view(np.int64))
+
+def renamed(nodes: DataFrame) -> dict[tuple[int, int], int]:
+    """New numbers for the prints (gid, hi) that share their gid with others: a small table, whose size is checked."""
+    shared = nodes.groupBy("gid").agg(F.min("hi").alias("least"), F.max("hi").alias("most")).where("least < most")
+    rows = nodes.join(shared, "gid", "left_semi").select("gid", "hi").distinct().limit(MOST_CLASHES + 1).collect()
+    if len(rows) > MOST_CLASHES:
+        raise ValueError("more prints share a half than the table of new numbers may hold")
+    return {(r.gid, r.hi): int(mix(mix(np.asarray([r.gid], np.int64).view(U)) + np.asarray([r.hi], np.int64).view(U))[0].view(np.int64)) for r in rows}
 
 
 def _least_overlap_prefix(n: int, percent: int) -> int:
@@ -48,7 +64,7 @@ def _count(counts: np.ndarray, seen: list[np.ndarray]) -> None:
         counts += np.bincount((np.concatenate(seen) & U(len(counts) - 1)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
 
 
-def _survey(width: int):
+def _survey(width: int, bits: int):
     """Pass 1: each text's size and print, and this task's share of the shingle counts."""
 
     def run(batches):
@@ -57,7 +73,7 @@ def _survey(width: int):
             n, lo, hi, seen, wait = [], [], [], [], 0
             for _, s in shingle_sets(batch.column("text"), width):
                 n.append(len(s))
-                a, b = prints(s)
+                a, b = prints(s, bits)
                 lo.append(a)
                 hi.append(b)
                 seen.append(s)
@@ -90,11 +106,11 @@ def _ordered(s: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     return np.sort((ranks[(s & U((1 << SKETCH_BITS) - 1)).astype(np.int64)].astype(U) << U(56)) | (s >> U(8)))
 
 
-def _prefixes(width: int, percent: int, ranks):
+def _prefixes(width: int, percent: int, ranks, bits: int, new: dict):
     """Pass 2: the prefix tokens of each group, and its members; what a task has said it does not repeat."""
 
     def run(batches):
-        told: set[int] = set()
+        told: set[tuple[int, int]] = set()
         table = np.frombuffer(ranks.value, np.uint8)
         for batch in batches:
             token, group, pos, node, size = [], [], [], [], []
@@ -102,17 +118,18 @@ def _prefixes(width: int, percent: int, ranks):
             for _, s in shingle_sets(batch.column("text"), width):
                 if not len(s):
                     continue
-                gid, _ = prints(s)
-                if gid in told:
+                own = prints(s, bits)
+                if own in told:
                     continue
-                told.add(gid)
+                told.add(own)
                 head = _ordered(s, table)[: _least_overlap_prefix(len(s), percent)]
-                key = int(mix(np.asarray([prints(head)[0]], np.int64).view(U) + U(len(s)))[0].view(np.int64))
+                low, high = prints(head)
+                key = int(mix(np.asarray([low], np.int64).view(U) + U(len(s)))[0].view(np.int64))
                 member_group.append(key)
-                member_node.append(gid)
+                member_node.append(new.get(own, own[0]))
                 member_size.append(len(s))
-                if key not in told:
-                    told.add(key)
+                if (key, high) not in told:  # groups that share a key share their tokens: more candidates, none lost
+                    told.add((key, high))
                     token.append(head.view(np.int64))
                     group.append(np.full(len(head), key, np.int64))
                     pos.append(np.arange(len(head), dtype=np.int32))
@@ -152,27 +169,29 @@ def _any_of(pdf):
     return pd.DataFrame({"part": [pdf["part"].iloc[0]], "ranks": [total.tobytes()]})
 
 
-def _sets(width: int, bits: int, bloom):
+def _sets(width: int, bloom_bits: int, bloom, bits: int, new: dict):
     """Pass 3: whole sets of the nodes that have a candidate partner (or look so)."""
 
     def run(batches):
         told: set[int] = set()
         table = np.frombuffer(bloom.value, np.uint8)
         for batch in batches:
-            gid, sets = [], []
+            gid, sets, size = [], [], 0
             for _, s in shingle_sets(batch.column("text"), width):
                 if not len(s):
                     continue
-                g, _ = prints(s)
-                h = int(mix(np.asarray([g], np.int64).view(U))[0]) & ((1 << bits) - 1)
+                own = prints(s, bits)
+                g = new.get(own, own[0])
+                h = int(mix(np.asarray([g], np.int64).view(U))[0]) & ((1 << bloom_bits) - 1)
                 if not table[h >> 3] >> (h & 7) & 1 or g in told:
                     continue
                 told.add(g)
                 gid.append(g)
                 sets.append(s.tobytes())
-                if len(sets) >= 512:
+                size += s.nbytes
+                if size > SET_BYTES:
                     yield pa.RecordBatch.from_arrays([pa.array(gid, pa.int64()), pa.array(sets, pa.binary())], names=["gid", "members"])
-                    gid, sets = [], []
+                    gid, sets, size = [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(gid, pa.int64()), pa.array(sets, pa.binary())], names=["gid", "members"])
 
     return run
@@ -204,7 +223,7 @@ def similar(nx: str, ny: str, px: str, py: str, percent: int):
     return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & ((100 + percent) * rest >= percent * (a + b))
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, scratch: Scratch, width: int, percent: int, bits: int, new: dict) -> DataFrame:
     """pairs(a, b) with ok: whether the whole sets pass. Only sets that a pair asks for leave the texts.
 
     A hot hub's rows stream past its one set; AQE splits them.
@@ -213,12 +232,12 @@ def _verified(docs: DataFrame, pairs: DataFrame, scratch: Scratch, width: int, p
     pairs = scratch.keep(pairs)
     asked = pairs.select(F.explode(F.array("a", "b")).alias("gid")).distinct()
     n = asked.count()
-    bits = max(BLOOM_LEAST, min(BLOOM_MOST, (16 * n + 1).bit_length()))
-    bloom = spark.sparkContext.broadcast(_joined_parts(asked.mapInArrow(_bloom_part(bits), "part int, counts binary"), _any_of) or bytes(1 << (bits - 3)))
-    sets = scratch.keep(docs.mapInArrow(_sets(width, bits, bloom), "gid long, members binary")) if n else spark.createDataFrame([], "gid long, members binary")
+    wide = max(BLOOM_LEAST, min(BLOOM_MOST, (16 * n + 1).bit_length()))
+    bloom = spark.sparkContext.broadcast(_joined_parts(asked.mapInArrow(tidy(_bloom_part(wide)), "part int, counts binary"), _any_of) or bytes(1 << (wide - 3)))
+    sets = scratch.keep(docs.mapInArrow(tidy(_sets(width, wide, bloom, bits, new)), "gid long, members binary")) if n else spark.createDataFrame([], "gid long, members binary")
     one = sets.dropDuplicates(["gid"])
     x, y = one.select(F.col("gid").alias("a"), F.col("members").alias("x")), one.select(F.col("gid").alias("b"), F.col("members").alias("y"))
-    done = scratch.keep(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long, ok boolean"))
+    done = scratch.keep(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(tidy(_verify(percent)), "a long, b long, ok boolean"))
     for used in (pairs, sets) if n else (pairs,):
         scratch.drop(used)
     scratch.release()
@@ -245,17 +264,21 @@ def _cross_pairs(runs: DataFrame, percent: int) -> DataFrame:
     return near.select(F.least("gid", "g").alias("a"), F.greatest("gid", "g").alias("b")).distinct()
 
 
-def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, star_rounds: int = 2) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs(doc_id, text)."""
+def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, star_rounds: int = 2, bits: int = 64) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs(doc_id, text). bits: of a set's number; fewer only in tests."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    survey = scratch.keep(docs.mapInArrow(_survey(width), "doc_id long, n long, gid long, hi long, part int, counts binary"))
-    nodes = scratch.keep(survey.where("part is null").select("doc_id", "n", "gid"))
+    survey = scratch.keep(docs.mapInArrow(tidy(_survey(width, bits)), "doc_id long, n long, gid long, hi long, part int, counts binary"))
+    nodes = scratch.keep(survey.where("part is null").select("doc_id", "n", "gid", "hi"))
     ranks = spark.sparkContext.broadcast(_joined_parts(survey.where("part is not null").select("part", "counts"), _add_up) or bytes(1 << SKETCH_BITS))
     scratch.drop(survey)
+    new = renamed(nodes)
+    if new:
+        names = spark.createDataFrame([(*k, v) for k, v in new.items()], "gid long, hi long, own long")
+        nodes = nodes.join(F.broadcast(names), ["gid", "hi"], "left").select("doc_id", "n", F.coalesce("own", "gid").alias("gid"))
 
-    heads = docs.mapInArrow(_prefixes(width, percent, ranks), "token long, grp long, pos int, gid long, n long")
+    heads = docs.mapInArrow(tidy(_prefixes(width, percent, ranks, bits, new)), "token long, grp long, pos int, gid long, n long")
     meeting = Window.partitionBy(F.coalesce("token", "grp"), F.col("token").isNull())
     own = F.when(F.col("token").isNull(), F.col("gid")).otherwise(F.col("grp"))
     heads = scratch.keep(heads.withColumn("several", F.min(own).over(meeting) < F.max(own).over(meeting)).where("token is null or several"))
@@ -271,7 +294,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, star_
         labelled = runs.withColumn("label", F.col("gid")) if roots is None else runs.join(roots, runs.gid == roots.node, "left").select("token", "gid", "n", "pos", F.coalesce("root", "gid").alias("label"))
         pairs = _star_pairs(labelled, turn, percent) if turn < star_rounds else _cross_pairs(labelled, percent)
         pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
-        done = _verified(docs, pairs, scratch, width, percent)
+        done = _verified(docs, pairs, scratch, width, percent, bits, new)
         tried = done.select("a", "b") if tried is None else tried.unionByName(done.select("a", "b"))
         good = done.where("ok").select("a", "b")
         links = good if links is None else links.unionByName(good)

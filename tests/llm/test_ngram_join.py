@@ -34,3 +34,9 @@ def test_components_equal_brute_force(documents):
 
 def test_empty_table(documents):
     assert ngram_jaccard_join(documents.limit(0)).collect() == []
+
+
+def test_sets_whose_numbers_clash_stay_apart(documents):
+    rows = documents.collect()
+    got = sorted((tuple(r) for r in ngram_jaccard_join(documents, bits=5).select("doc_id", "n_shingles", "component_id").collect()), key=str)
+    assert got == brute(rows)
