@@ -10,12 +10,15 @@ Lattice. Distinct units explode into substrings no longer than the longest piece
 on a 64-bit hash, the strings being compared after it (a table of at most MOST_PIECES rows, broadcast); a character that
 is no piece stays as bytes (byte fallback). The edges are grouped by unit, sorted by their end and length, and a
 higher-order aggregate folds Viterbi over them: the path of the largest sum of piece scores, the shorter last piece among
-equals. That is the search of unigram models. On a vocabulary whose scores are merge ranks
-(BPE) it is the best path under these scores and may differ from what greedy merging gives.
+equals. Its state holds the scores of as many positions as a piece is long. A unit of more than WINDOW characters goes in
+windows, whose edges are grouped each for itself and folded one after another, so a run of a million characters is linear
+work. That is the search of unigram models. On a vocabulary whose scores are merge ranks (BPE) it is the best path under
+these scores and may differ from what greedy merging gives.
 
-Texts. Units that are frequent in a bounded sample of documents are encoded first and kept as a dictionary of at most
-HOT_UNITS entries, only to move less: units outside it go through the same lattice, distinct, over all documents, and
-come back to blocks of about BLOCK_DOCS documents. No text is cut and no unit is left out.
+Texts. Blocks of documents, bounded in rows and characters, are cut into distinct words and units and written once. Units
+that are frequent in a bounded sample of documents are encoded first and kept as a dictionary of at most HOT_UNITS
+entries, only to move less: the units that a block has besides go through the same lattice, distinct over all documents,
+and come back to their block. No text is cut and no unit is left out.
 
 Defined results: null and empty texts have no ids; every valid text decodes to itself (a literal U+2581 goes as bytes);
 repeated rows come back once each; a null doc_id too; extra columns are ignored; empty in, empty out.
@@ -23,22 +26,36 @@ repeated rows come back once each; a null doc_id too; extra columns are ignored;
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import pickle
 import re
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.arrowtext import tidy
+from quarry.llm.scratch import Scratch
 from quarry.llm.textfeatures import bounded_sample
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-MOST_PIECES, HOT_UNITS, HOT_LENGTH, SAMPLE_DOCS, BLOCK_DOCS, MEMO = 1 << 20, 1 << 17, 64, 16384, 1024, 100_000
+MOST_PIECES, HOT_UNITS, HOT_LENGTH, SAMPLE_DOCS = 1 << 20, 1 << 16, 64, 16384
+#: Documents and characters of a block, positions of a window of a long unit, cold units of a partition, tokens and
+#: characters that Python works on at once.
+BLOCK_DOCS, BLOCK_CHARS, WINDOW, UNITS_A_PART, TOKENS, LIST_CHARS = 1024, 2 << 20, 512, 50_000, 1 << 18, 1 << 20
 WORD = re.compile(r" *[^ \n]+| +|\n")
+#: Places where a word ends whatever comes before it.
+BETWEEN = re.compile(r"(?<=[^ \n])(?=[ \n])|(?<=\n)")
+#: Cold units that are no name of a long one.
+_SHORT = "(length(unit) = 1 or not startswith(unit, '\n'))"
 SPACE = "▁"
 
 
@@ -52,7 +69,7 @@ class Vocabulary:
         self.useful = [x for x in pieces if len(x[0]) == 1 or self._parts(x[0]) <= x[2] + 1e-9 * abs(x[2])]
         self.reach = max(len(p) for p, _, _ in self.useful)
         self.joined = {p[i : i + 2] for p, _, _ in self.useful for i in range(len(p) - 1)}
-        if len(pieces) > MOST_PIECES or any(re.search(r"[^ ] |.\n|\n.", p, re.S) for p, _, _ in pieces):
+        if len(pieces) > MOST_PIECES or self.reach > 63 or any(re.search(r"[^ ] |.\n|\n.", p, re.S) for p, _, _ in pieces):
             raise ValueError("a vocabulary whose pieces cross words, or too large a one")
         if len({xxhash.xxh64_intdigest(p.encode(), 42) for p, _, _ in pieces}) < len(pieces):
             raise ValueError("pieces that are the same, or whose hashes are")
@@ -98,58 +115,151 @@ def units_of(word: str, joined: set[str]) -> list[str]:
     return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)] if cuts else [word]
 
 
-def lattice(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """unit, codes array<int> for distinct units(unit), kept in their partitions; -1 - c is a character c that is no piece."""
-    table = units.sparkSession.createDataFrame(vocabulary.useful, "name string, id int, score double").withColumn("h", F.xxhash64("name"))
-    spans = units.select("unit", F.length("unit").alias("size")).select("unit", "size", F.explode(F.expr("sequence(1, size)")).alias("at"))
-    spans = spans.select("unit", "at", F.explode(F.expr(f"sequence(1, least({vocabulary.reach}, size - at + 1))")).alias("len"))
-    spans = spans.withColumn("piece", F.substr("unit", "at", "len")).withColumn("h", F.xxhash64("piece"))
+def cuts_of(words: list[str], joined: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """(units of all words, in order; how many each word has): units_of() for many words at once."""
+    flat = "".join(words)
+    c = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    ends = np.cumsum([len(w) for w in words])
+    cut = np.ones(len(c), bool)  # a unit begins here
+    if len(c) > 1 and len(joined):
+        pairs = c[:-1] << np.uint64(32) | c[1:]
+        cut[1:] = joined[np.minimum(np.searchsorted(joined, pairs), len(joined) - 1)] != pairs
+    cut[ends[:-1]] = True
+    starts = np.flatnonzero(cut)
+    edges = [*starts.tolist(), len(flat)]
+    return [flat[i:j] for i, j in itertools.pairwise(edges)], np.diff(np.searchsorted(starts, ends), prepend=0)
+
+
+def word_lists(text: str | None) -> Iterator[list[str]]:
+    """words_of() in lists of bounded size; only a single word may be longer."""
+    text, at = f" {text}" if text else "", 0
+    while len(text) - at > LIST_CHARS:
+        m = BETWEEN.search(text, at + LIST_CHARS)
+        if m is None:
+            break
+        yield WORD.findall(text, at, m.start())
+        at = m.start()
+    yield WORD.findall(text, at)
+
+
+def _edges(windows: DataFrame, keys: list[str], vocabulary: Vocabulary) -> DataFrame:
+    """keys, edges: all edges that end in a window (text after `skip` characters), by their end and length."""
+    table = windows.sparkSession.createDataFrame(vocabulary.useful, "name string, id int, score double").withColumn("h", F.xxhash64("name"))
+    spans = windows.select(*keys, "skip", "text", F.explode(F.expr("sequence(skip + 1, length(text))")).alias("at"))
+    spans = spans.select(*keys, "skip", "text", "at", F.explode(F.expr(f"sequence(1, least({vocabulary.reach}, at))")).alias("len"))
+    spans = spans.select(*keys, ((F.col("at") - F.col("skip")) * 64 + F.col("len")).alias("k"), F.substr("text", F.expr("at - len + 1"), "len").alias("piece")).withColumn("h", F.xxhash64("piece"))
     # hashes of pieces are distinct (Vocabulary); a hash that another substring shares finds no piece
-    found, same = spans.join(F.broadcast(table), "h", "left").where("len = 1 or name = piece"), F.col("name") == F.col("piece")
+    found, same = spans.join(F.broadcast(table), "h", "left").where("k % 64 = 1 or name = piece"), F.col("name") == F.col("piece")
     code, score = F.coalesce(F.when(same, F.col("id")), -1 - F.ascii("piece")), F.coalesce(F.when(same, F.col("score")), F.lit(vocabulary.unknown))
-    edge = F.struct((F.col("at") + F.col("len") - 1).alias("e"), F.col("len").alias("l"), code.alias("i"), score.alias("s"))
-    grouped = found.groupBy("unit").agg(F.collect_list(edge).alias("edges"))
-    # state: score and last edge of the best path to each finished position, and b, x: those of the one in hand. Every
-    # position begins with its single character, which finishes the position before it.
-    kind = "struct<e:int,l:int,i:int,s:double>"
-    start = F.expr(f"named_struct('s', cast(array() as array<double>), 'last', cast(array() as array<{kind}>), 'b', 0D, 'x', cast(null as {kind}))")
+    return found.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("k", code.alias("i"), score.alias("s")))).alias("edges"))
+
+
+# Viterbi's state. r: scores of the best paths to the last finished positions, as many as a piece is long; b, x: score and
+# last edge of the best path to the position in hand; out: last edges of the finished positions of this window.
+_EDGE = "struct<k:int,i:int,s:double>"
+_START = f"named_struct('r', cast(array() as array<double>), 'b', 0D, 'x', cast(null as {_EDGE}), 'out', cast(array() as array<{_EDGE}>))"
+
+
+def _forward(edges: Column, start: Column, reach: int) -> Column:
+    """The fold over a window's edges. Every position begins with its single character, which finishes the one before."""
 
     def step(a, x):
-        new = F.struct(F.concat(a["s"], F.array(a["b"])).alias("s"), F.concat(a["last"], F.array(a["x"])).alias("last"), (a["b"] + x["s"]).alias("b"), x.alias("x"))
-        far = F.get(a["s"], x["e"] - x["l"]) + x["s"]
-        better = F.struct(a["s"].alias("s"), a["last"].alias("last"), far.alias("b"), x.alias("x"))
-        return F.when(x["l"] == 1, new).when(far > a["b"], better).otherwise(a)
+        past = F.concat(F.when(F.size(a["r"]) < reach, a["r"]).otherwise(F.slice(a["r"], 2, reach - 1)), F.array(a["b"]))
+        new = F.struct(past.alias("r"), (a["b"] + x["s"]).alias("b"), x.alias("x"), F.concat(a["out"], F.array(a["x"])).alias("out"))
+        far = F.get(a["r"], F.size(a["r"]) - x["k"] % 64) + x["s"]
+        better = F.struct(a["r"].alias("r"), far.alias("b"), x.alias("x"), a["out"].alias("out"))
+        return F.when(x["k"] % 64 == 1, new).when(far > a["b"], better).otherwise(a)
+
+    return F.aggregate(edges, start, step)
+
+
+def _backward(path: Column, start: Column) -> Column:
+    """skip, codes: the codes of the best path, last first, along the last edges of all positions, last first."""
+
+    def step(a, x):
+        taken = F.struct((x["k"] % 64 - 1).alias("skip"), F.concat(a["codes"], F.array(x["i"])).alias("codes"))
+        return F.when(x.isNull(), a).when(a["skip"] == 0, taken).otherwise(F.struct((a["skip"] - 1).alias("skip"), a["codes"].alias("codes")))
+
+    return F.aggregate(path, start, step)
+
+
+_NONE = "named_struct('skip', 0, 'codes', cast(array() as array<int>))"
+
+
+def lattice(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """unit, codes array<int> for distinct units(unit), kept in their partitions; -1 - c is a character c that is no piece."""
+    found = _edges(units.select("unit", F.lit(0).alias("skip"), F.col("unit").alias("text")), ["unit"], vocabulary)
+    last = found.select("unit", _forward(F.col("edges"), F.expr(_START), vocabulary.reach).alias("f")).select("unit", F.reverse(F.concat("f.out", F.array("f.x"))).alias("path"))
+    return last.select("unit", F.reverse(_backward(F.col("path"), F.expr(_NONE))["codes"]).alias("codes"))
+
+
+def long_lattice(windows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """unit, codes of long units(unit, w, skip, text): edges are grouped by window, windows are folded one after another.
+
+    A fold within a fold: what a window adds to the state is put aside when the next one begins, so the state stays small.
+    """
+    found = _edges(windows, ["unit", "w"], vocabulary).groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("w", "edges"))).alias("windows"))
+    start = F.expr(f"named_struct('f', {_START}, 'outs', cast(array() as array<array<{_EDGE}>>))")
+
+    def window(a, w):
+        f = a["f"]
+        kept = F.struct(f["r"].alias("r"), f["b"].alias("b"), f["x"].alias("x"), F.slice(f["out"], 1, 0).alias("out"))
+        return F.struct(_forward(w["edges"], kept, vocabulary.reach).alias("f"), F.concat(a["outs"], F.array(f["out"])).alias("outs"))
+
+    last = found.select("unit", F.aggregate("windows", start, window, lambda a: F.reverse(F.concat(a["outs"], F.array(a["f"]["out"]), F.array(F.array(a["f"]["x"]))))).alias("paths"))
+    begin = F.expr(f"named_struct('f', {_NONE}, 'outs', cast(array() as array<array<int>>))")
 
-    def back(a, x):
-        return F.when(x["e"] == a["at"], F.struct((x["e"] - x["l"]).alias("at"), F.concat(a["codes"], F.array(x["i"])).alias("codes"))).otherwise(a)
+    def back(a, path):
+        left = F.struct(a["f"]["skip"].alias("skip"), F.slice(a["f"]["codes"], 1, 0).alias("codes"))
+        return F.struct(_backward(F.reverse(path), left).alias("f"), F.concat(a["outs"], F.array(a["f"]["codes"])).alias("outs"))
 
-    path = F.aggregate(F.sort_array("edges"), start, step, lambda a: F.reverse(F.concat(a["last"], F.array(a["x"]))))
-    codes = F.aggregate(path, F.expr("named_struct('at', length(unit), 'codes', cast(array() as array<int>))"), back, lambda a: F.reverse(a["codes"]))
-    return grouped.select("unit", codes.alias("codes"))
+    return last.select("unit", F.aggregate("paths", begin, back, lambda a: F.reverse(F.flatten(F.concat(a["outs"], F.array(a["f"]["codes"]))))).alias("codes"))
 
 
-def _ids(codes: list[int], byte_ids: list[int]) -> bytes:
-    """Codes as packed ids; -1 - c stands for the bytes of character c."""
-    if min(codes, default=0) >= 0:
-        return np.array(codes, np.int32).tobytes()
-    out: list[int] = []
-    for c in codes:
-        out += [c] if c >= 0 else [byte_ids[b] for b in chr(-1 - c).encode()]
-    return np.array(out, np.int32).tobytes()
+def _flat_ids(codes: np.ndarray, ends: np.ndarray, byte_ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes as ids, with their ends; -1 - c becomes the bytes of character c."""
+    odd = np.flatnonzero(codes < 0)
+    if not len(odd):
+        return codes.astype(np.int32), ends
+    told = [[byte_ids[b] for b in chr(-1 - c).encode("utf-8", "replace")] for c in codes[odd].tolist()]
+    sizes = np.ones(len(codes), np.int64)
+    sizes[odd] = [len(t) for t in told]
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    out = np.repeat(codes, sizes).astype(np.int32)
+    for i, t in zip(at[odd].tolist(), told, strict=True):
+        out[i : i + len(t)] = t
+    return out, at[ends]
 
 
-def _count_units(joined: set[str]):
+def gather(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(stretches `pick` of pool, one after another; the end of each)."""
+    own = sizes[pick]
+    ends = np.cumsum(own)
+    if not len(ends):
+        return pool[:0], ends
+    return pool[np.repeat(starts[pick] - (ends - own), own) + np.arange(ends[-1])], ends
+
+
+def _listed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values, ends of the lists) of an array of lists."""
+    at = column.offsets.to_numpy().astype(np.int64)
+    return column.values.slice(at[0], at[-1] - at[0]), at[1:] - at[0]
+
+
+def _count_units(joined: np.ndarray):
     def run(batches):
         from collections import Counter
 
         for batch in batches:
             words: Counter = Counter()
             for t in batch.column("text"):
-                words.update(words_of(t.as_py()))
-            seen: dict[str, int] = {}
-            for word, n in words.items():
-                for u in units_of(word, joined):
-                    seen[u] = seen.get(u, 0) + n
+                for own in word_lists(t.as_py()):
+                    words.update(own)
+            seen: Counter = Counter()
+            units, sizes = cuts_of(list(words), joined) if words else ([], np.zeros(0, int))
+            for u, n in zip(units, np.repeat(list(words.values()), sizes).tolist(), strict=True):
+                if len(u) <= HOT_LENGTH:
+                    seen[u] += n
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["unit", "n"])
 
     return run
@@ -163,76 +273,112 @@ def _dictionary(shared, key: str) -> dict[str, bytes]:
     if key not in _dictionaries:
         _dictionaries.clear()
         names, ends, flat = shared.value
-        at = 0
-        own = {}
-        for name, end in zip(names.split("\x00") if names else [], ends, strict=True):
-            own[name] = flat[at:end]
-            at = end
-        _dictionaries[key] = own
+        _dictionaries[key] = {name: flat[4 * i : 4 * j] for name, i, j in zip(names.split("\x00") if names else [], [0, *ends], ends, strict=False)}
     return _dictionaries[key]
 
 
-def _cold(shared, key: str, joined: set[str]):
-    """The distinct units of each block that the dictionary lacks."""
+def _windows(unit: str, key: str, reach: int) -> list[tuple[str, int, int, str]]:
+    """A long unit in windows of its positions, each with the characters before it that a piece may begin in."""
+    return [(key, w, min(at, reach - 1), unit[max(0, at - reach + 1) : at + WINDOW]) for w, at in enumerate(range(0, len(unit), WINDOW))]
 
-    def run(batches):
-        hot, known = _dictionary(shared, key), {}
-        for batch in batches:
-            own: dict[int, set[str]] = {}
-            for block, t in zip(batch.column("block").to_pylist(), batch.column("text"), strict=True):
-                for word in set(words_of(t.as_py())):
-                    lacks = known.get(word)
-                    if lacks is None:
-                        if len(known) > MEMO:
-                            known.clear()
-                        lacks = known[word] = () if word in hot else tuple(u for u in units_of(word, joined) if u not in hot)
-                    if lacks:
-                        own.setdefault(block, set()).update(lacks)
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, s in own.items() for _ in s], pa.int64()), pa.array([u for s in own.values() for u in s], pa.string())], names=["block", "unit"])
 
-    return run
+_LONG = pa.list_(pa.struct([("unit", pa.string()), ("w", pa.int32()), ("skip", pa.int32()), ("text", pa.string())]))
+
+
+class _Block:
+    """Documents that are worked on together: each distinct word is cut once, each distinct unit looked up once."""
+
+    def __init__(self):
+        self.words: dict[str, int] = {}
+        self.tokens, self.ends, self.places, self.doc_ids, self.size, self.n = [], [], [], [], 0, 0
+
+    def add(self, place: int, doc_id: int | None, text: str | None) -> None:
+        put = self.words.setdefault
+        for own in word_lists(text):
+            self.tokens.append(np.array([put(w, len(self.words)) for w in own], np.int32))
+            self.n += len(own)
+        self.ends.append(self.n)
+        self.places.append(place)
+        self.doc_ids.append(doc_id)
+        self.size += len(text or "") + 32
+
+    def row(self, hot: dict[str, bytes], joined: np.ndarray, reach: int, press) -> tuple[bytes, list[str], list[tuple]]:
+        """(the documents, packed; units that the dictionary lacks; windows of the long ones)."""
+        units, sizes = cuts_of(list(self.words), joined) if self.words else ([], np.zeros(0, np.int64))
+        seen: dict[str, int] = {}
+        flat = np.array([seen.setdefault(u, len(seen)) for u in units], np.int32)
+        known = [hot.get(u) for u in seen]
+        cold = [u for u, ids in zip(seen, known, strict=True) if ids is None]
+        windows = []
+        for i, u in enumerate(cold):
+            if len(u) > WINDOW:
+                cold[i] = "\n" + hashlib.sha256(u.encode("utf-8", "surrogatepass")).hexdigest()
+                windows += _windows(u, cold[i], reach)
+        lengths = np.array([-1 if x is None else len(x) // 4 for x in known], np.int32)
+        ids = np.frombuffer(b"".join(x for x in known if x is not None), np.int32)
+        tokens = np.concatenate(self.tokens) if self.tokens else np.zeros(0, np.int32)
+        parts = (self.places, self.doc_ids, np.array(self.ends, np.int64), tokens, sizes.astype(np.int32), flat, lengths, ids)
+        return press.compress(pickle.dumps(parts, 5)), cold, windows
 
 
-def _packed():
-    """The documents of each block, compressed."""
+def _blocks(shared, key: str, joined: np.ndarray, reach: int, block_docs: int, ordered: bool):
+    """Rows block, docs, units, long: each of block_docs documents and BLOCK_CHARS characters at most, or one long document.
+
+    block is the first place, or a number that no other block of the table has.
+    """
 
     def run(batches):
-        press = zstandard.ZstdCompressor(level=3)
+        hot, press = _dictionary(shared, key), zstandard.ZstdCompressor(level=3)
+        own, first, last, made = _Block(), 0, None, TaskContext.get().partitionId() << 32
+
+        def done():
+            docs, cold, windows = own.row(hot, joined, reach, press)
+            return pa.RecordBatch.from_arrays([pa.array([first if ordered else made], pa.int64()), pa.array([docs], pa.binary()), pa.array([cold], pa.list_(pa.string())), pa.array([[dict(zip(("unit", "w", "skip", "text"), w, strict=True)) for w in windows]], _LONG)], names=["block", "docs", "units", "long"])
+
         for batch in batches:
-            own: dict[int, tuple[list, list, list]] = {}
-            for block, place, doc_id, t in zip(batch.column("block").to_pylist(), batch.column("place").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                places, ids, texts = own.setdefault(block, ([], [], []))
-                places.append(place)
-                ids.append(doc_id)
-                texts.append(t.as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array([press.compress(pickle.dumps(x, 5)) for x in own.values()], pa.binary())], names=["block", "docs"])
+            for place, doc_id, text in zip(*(batch.column(c) for c in ("place", "doc_id", "text")), strict=True):
+                place, text = place.as_py(), text.as_py()
+                if own.places and (len(own.places) >= block_docs or own.size + len(text or "") > BLOCK_CHARS or (ordered and place != last + 1)):
+                    yield done()
+                    own, made = _Block(), made + 1
+                if not own.places:
+                    first = place
+                own.add(place, doc_id.as_py(), text)
+                last = place
+        if own.places:
+            yield done()
 
     return run
 
 
-def _assembled(shared, key: str, joined: set[str]):
-    def run(docs: pa.Table, cold: pa.Table) -> pa.Table:
-        hot = _dictionary(shared, key)
-        more = dict(zip(cold.column("unit").to_pylist(), cold.column("ids").to_pylist(), strict=True))
-        unpress, known = zstandard.ZstdDecompressor(), {}
-        places, doc_ids, parts, ends, at = [], [], [], [0], 0
-
-        def ids_of(word: str) -> bytes:
-            known[word] = own = b"".join([hot[u] if u in hot else more[u] for u in units_of(word, joined)])
-            return own
-
-        for x in docs.column("docs"):
-            for place, doc_id, text in zip(*pickle.loads(unpress.decompress(x.as_py())), strict=True):
-                own = b"".join([known[w] if w in known else ids_of(w) for w in words_of(text)])
-                places.append(place)
-                doc_ids.append(doc_id)
-                parts.append(own)
-                at += len(own) // 4
-                ends.append(at)
-            if len(known) > MEMO:
-                known.clear()
-        ids = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.frombuffer(b"".join(parts), np.int32))).cast(pa.list_(pa.int32()))
-        return pa.table({"place": pa.array(places, pa.int64()), "doc_id": pa.array(doc_ids, pa.int64()), "ids": ids})
+def _assembled(byte_ids: list[int]):
+    """place, doc_id, ids of the documents of each block, from its packed documents and the codes of its cold units."""
+
+    def run(batches):
+        unpress = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for docs, told in zip(batch.column("docs"), batch.column("told"), strict=True):
+                places, doc_ids, ends, tokens, sizes, flat, lengths, ids = pickle.loads(unpress.decompress(docs.as_py()))
+                lengths, pool = lengths.astype(np.int64), ids
+                starts = np.cumsum(np.maximum(lengths, 0)) - np.maximum(lengths, 0)
+                cold = np.flatnonzero(lengths < 0)
+                if len(cold):
+                    pos = told.values.field("pos").to_numpy()
+                    codes, stops = _listed(told.values.field("codes"))
+                    more, stops = _flat_ids(codes.to_numpy(), np.concatenate([[0], stops]), byte_ids)
+                    assert len(set(pos.tolist())) == len(cold), "units without ids"
+                    starts[cold[pos]], lengths[cold[pos]] = stops[:-1] + len(ids), np.diff(stops)
+                    pool = np.concatenate([ids, more])
+                # units of each word, then words of each document
+                words, _ = gather(pool, starts, lengths, flat)
+                unit_ends = np.concatenate([[0], np.cumsum(lengths[flat])])
+                word_ends = unit_ends[np.cumsum(sizes)] if len(sizes) else np.zeros(0, np.int64)
+                word_sizes = np.diff(word_ends, prepend=0)
+                out = [gather(words, word_ends - word_sizes, word_sizes, tokens[i : i + TOKENS])[0] for i in range(0, len(tokens), TOKENS)]
+                done = np.concatenate([[0], np.cumsum(word_sizes[tokens])])[np.concatenate([[0], ends])]
+                lists = pa.LargeListArray.from_arrays(pa.array(done, pa.int64()), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32), pa.int32())).cast(pa.list_(pa.int32()))
+                for i in range(0, len(places), 256):
+                    yield pa.RecordBatch.from_arrays([pa.array(doc_ids[i : i + 256], pa.int64()), lists[i : i + 256]], names=["doc_id", "ids"])
 
     return run
 
@@ -240,50 +386,69 @@ def _assembled(shared, key: str, joined: set[str]):
 def encode(docs: DataFrame, model: str = MODEL, place: str | None = None) -> DataFrame:
     """doc_id, ids array<int> for every row of docs(doc_id, text).
 
-    place: a column of places from 0 on without large gaps; then blocks are stretches of places and rows come in their order.
+    place: a column of places that rise along docs; then rows come in their order, partition after partition.
     """
     spark, vocabulary = docs.sparkSession, Vocabulary.load(model)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.col(place) if place else F.lit(0)).cast("long").alias("place"))
-    n = docs.count() if place is None else (docs.agg(F.max("place")).first()[0] or 0) + 1
-    blocks = max(1, -(-n // BLOCK_DOCS))
-    seen = bounded_sample(docs, SAMPLE_DOCS, F.col("doc_id")).select("text").mapInArrow(_count_units(vocabulary.joined), "unit string, n long")
-    frequent = seen.groupBy("unit").agg(F.sum("n").alias("n")).where(f"n > 1 and length(unit) <= {HOT_LENGTH} and instr(unit, '\\0') = 0").orderBy(F.desc("n"), "unit").limit(HOT_UNITS).select("unit").repartition(max(8, min(64, blocks)), "unit")
-    known = lattice(frequent, vocabulary).toArrow()
-    packed = [_ids(c, vocabulary.byte_ids) for c in known.column("codes").to_pylist()]
-    shared = spark.sparkContext.broadcast(("\x00".join(known.column("unit").to_pylist()), np.cumsum([len(p) for p in packed]).tolist(), b"".join(packed)))
+    joined = np.sort(np.array([ord(p[0]) << 32 | ord(p[1]) for p in vocabulary.joined], np.uint64))
+    seen = bounded_sample(docs, SAMPLE_DOCS, F.col("doc_id")).select("text").mapInArrow(tidy(_count_units(joined)), "unit string, n long")
+    frequent = seen.groupBy("unit").agg(F.sum("n").alias("n")).where("n > 1 and instr(unit, '\\0') = 0").orderBy(F.desc("n"), "unit").limit(HOT_UNITS).select("unit").repartition(16, "unit")
+    known = lattice(frequent, vocabulary).toArrow().combine_chunks()
+    codes, ends = _listed(known.column("codes").chunk(0)) if known.num_rows else (pa.array([], pa.int32()), np.zeros(0, np.int64))
+    ids, ends = _flat_ids(codes.to_numpy(), np.concatenate([[0], ends]), vocabulary.byte_ids)
+    shared = spark.sparkContext.broadcast(("\x00".join(known.column("unit").to_pylist()), ends[1:].tolist(), ids.tobytes()))
     key = f"{shared._jbroadcast.id()}-{spark.sparkContext.applicationId}"
+    del known, codes, ids
 
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)) if place is None else F.floor(F.col("place") / BLOCK_DOCS))
-    cold = dealt.mapInArrow(_cold(shared, key, vocabulary.joined), "block long, unit string").where("unit is not null").repartition(max(8, blocks // 2), "unit")
+    scratch = Scratch(spark, "sentencepiece")
+    schema = "block long, docs binary, units array<string>, long array<struct<unit:string,w:int,skip:int,text:string>>"
+    blocks = scratch.keep(docs.mapInArrow(tidy(_blocks(shared, key, joined, vocabulary.reach, BLOCK_DOCS, place is not None)), schema))
+    parts = max(8, blocks.agg(F.sum(F.size("units"))).first()[0] or 0) // UNITS_A_PART + 1
     # no block is negative: the filter makes both uses of cold read the same columns, so that its shuffle is made once
-    made = lattice(cold.groupBy("unit").agg(F.min("block").alias("least")).where("least >= 0").select("unit"), vocabulary)
-    byte_ids = vocabulary.byte_ids
-
-    def pack(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("unit"), pa.array([_ids(c, byte_ids) for c in batch.column("codes").to_pylist()], pa.binary())], names=["block", "unit", "ids"])
-
-    told = cold.join(made, "unit").select("block", "unit", "codes").mapInArrow(pack, "block long, unit string, ids binary")
-    out = dealt.mapInArrow(_packed(), "block long, docs binary").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_assembled(shared, key, vocabulary.joined), "place long, doc_id long, ids array<int>")
+    cold = blocks.select("block", F.posexplode("units").alias("pos", "unit")).repartition(max(8, parts), "unit")
+    made = lattice(cold.groupBy("unit").agg(F.min("block").alias("least"), F.min("pos").alias("pos")).where(f"least >= 0 and pos >= 0 and {_SHORT}").select("unit"), vocabulary)
+    told = cold.join(made, "unit").select("block", "pos", "codes")
+    if blocks.where("size(long) > 0").take(1):
+        windows = blocks.select(F.explode("long").alias("x")).select("x.*").repartition(max(8, parts), "unit", "w").dropDuplicates(["unit", "w"])
+        told = told.unionByName(cold.where(f"not ({_SHORT})").join(long_lattice(windows, vocabulary), "unit").select("block", "pos", "codes"))
+    told = told.groupBy("block").agg(F.collect_list(F.struct("pos", "codes")).alias("told"))
+    whole = blocks.select("block", "docs").join(told, "block", "left")
     if place is not None:
-        out = out.repartitionById(blocks, F.floor(F.col("place") / BLOCK_DOCS).cast("int")).sortWithinPartitions("place")
-    return out.select("doc_id", "ids")
+        whole = whole.repartitionByRange("block").sortWithinPartitions("block")
+    return whole.select("docs", "told").mapInArrow(tidy(_assembled(vocabulary.byte_ids)), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
-    """encoded(ids, ...) with text added: the pieces' texts, without the space that encoding puts first."""
-    shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary.load(model).texts())
+    """encoded(ids, ...) with text added: the pieces' texts, without the space that encoding puts first.
+
+    A null list gives a null text; a null in a list and an id that stands for no text give nothing.
+    """
+    texts = Vocabulary.load(model).texts()
+    sizes = np.zeros(max(texts, default=0) + 2, np.int64)  # the last place: ids that stand for no text
+    for i, t in texts.items():
+        sizes[i] = len(t)
+    shared = encoded.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(texts[i] for i in sorted(texts)), np.uint8), sizes))
     own = [c for c in encoded.columns if c != "text"]
     encoded = encoded.select(own)
 
     def run(batches):
-        get = shared.value.__getitem__
+        pool, sizes = shared.value
+        starts, none = np.cumsum(sizes) - sizes, len(sizes) - 1
         for batch in batches:
-            texts = [None if ids is None else b"".join(map(get, ids))[1:].decode("utf-8", "replace") for ids in batch.column("ids").to_pylist()]
+            column = batch.column("ids")
+            ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy())])
+            at, texts = 0, []
+            while at < len(column):
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + TOKENS, side="right")) - 1)
+                ids = pc.fill_null(column.slice(at, to - at).flatten(), -1).to_numpy().astype(np.int64)
+                raw, stops = gather(pool, starts, sizes, np.where((ids < 0) | (ids > none), none, ids))
+                raw, stops = raw.tobytes(), np.concatenate([[0], stops])[ends[at : to + 1] - ends[at]].tolist()
+                texts += [raw[i + 1 : j].decode("utf-8", "replace") if some else None for i, j, some in zip(stops, stops[1:], column.slice(at, to - at).is_valid().to_pylist(), strict=False)]
+                at = to
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*own, "text"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(run, f"{kinds}, text string")
+    return encoded.mapInArrow(tidy(run), f"{kinds}, text string")
 
 
 def encoding_digest(docs: DataFrame, model: str = MODEL) -> DataFrame:

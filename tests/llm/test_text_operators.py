@@ -125,3 +125,28 @@ def test_quality(documents, spark, tables):
     assert all(r.keep for r in quality.classify_quality(documents.where("doc_id < 10"), labels.limit(0)).collect())
     with pytest.raises(AttributeError):
         _ = odd[0].nothing
+
+
+def test_long_units_go_in_windows(spark, monkeypatch):
+    import random
+
+    r, vocabulary = random.Random(4), sp.Vocabulary.load()
+    texts = ["=" * n for n in (511, 512, 513, 700, 5000)] + ["".join(r.choice("abethn=-") for _ in range(n)) for n in (600, 3000)] + ["日" * 900, "x" * 1500 + " y" + "=" * 1200]
+    monkeypatch.setattr(sp, "WINDOW", 64)
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(99, texts[4]), (4, texts[4])], "doc_id long, text string")
+    for r in sp.decode(sp.encode(docs)).collect():
+        text = texts[4 if r.doc_id == 99 else r.doc_id]
+        assert r.text == text
+        if len(text) <= 3000:
+            assert list(r.ids) == [i for w in sp.words_of(text) for u in sp.units_of(w, vocabulary.joined) for i in sp.best_path(u, vocabulary)]
+
+
+def test_words_in_lists_are_the_words(monkeypatch):
+    monkeypatch.setattr(sp, "LIST_CHARS", 5)
+    for text in ("ab cd  ef\n\n gh   ", "x" * 40, "a b\nc d e f g\n\n\n  h", " ", "\n"):
+        assert [w for own in sp.word_lists(text) for w in own] == sp.words_of(text)
+
+
+def test_decoding_reads_odd_ids(spark):
+    rows = spark.createDataFrame([(None,), ([],), ([10**6, None, -5],)], "ids array<int>")
+    assert [r.text for r in sp.decode(rows).collect()] == [None, "", ""]
