@@ -15,7 +15,7 @@ windows, whose edges are grouped each for itself and folded one after another, s
 work. That is the search of unigram models. On a vocabulary whose scores are merge ranks (BPE) it is the best path under
 these scores and may differ from what greedy merging gives.
 
-Texts. Blocks of documents, bounded in rows and characters, are cut into distinct words and units and written once. Units
+Texts. Blocks of documents, bounded in rows and characters, are cut into distinct words and units and shuffled once. Units
 that are frequent in a bounded sample of documents are encoded first and kept as a dictionary of at most HOT_UNITS
 entries, only to move less: the units that a block has besides go through the same lattice, distinct over all documents,
 and come back to their block. No text is cut and no unit is left out.
@@ -41,16 +41,16 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType, _parse_datatype_string
 
 from quarry.llm.arrowtext import tidy
-from quarry.llm.scratch import Scratch
 from quarry.llm.textfeatures import bounded_sample
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-MOST_PIECES, HOT_UNITS, HOT_LENGTH, SAMPLE_DOCS = 1 << 20, 1 << 16, 64, 16384
-#: Documents and characters of a block, positions of a window of a long unit, cold units of a partition, tokens and
-#: characters that Python works on at once.
-BLOCK_DOCS, BLOCK_CHARS, WINDOW, UNITS_A_PART, TOKENS, LIST_CHARS = 1024, 2 << 20, 512, 50_000, 1 << 18, 1 << 20
+MOST_PIECES, HOT_UNITS, HOT_LENGTH, SAMPLE_DOCS = 1 << 20, 1 << 17, 64, 16384
+#: Documents and characters of a block, documents of a partition of blocks, positions of a window of a long unit, tokens
+#: and characters that Python works on at once.
+BLOCK_DOCS, BLOCK_CHARS, DOCS_A_PART, WINDOW, TOKENS, LIST_CHARS = 1024, 2 << 20, 4096, 512, 1 << 18, 1 << 20
 WORD = re.compile(r" *[^ \n]+| +|\n")
 #: Places where a word ends whatever comes before it.
 BETWEEN = re.compile(r"(?<=[^ \n])(?=[ \n])|(?<=\n)")
@@ -130,16 +130,49 @@ def cuts_of(words: list[str], joined: np.ndarray) -> tuple[list[str], np.ndarray
     return [flat[i:j] for i, j in itertools.pairwise(edges)], np.diff(np.searchsorted(starts, ends), prepend=0)
 
 
-def word_lists(text: str | None) -> Iterator[list[str]]:
-    """words_of() in lists of bounded size; only a single word may be longer."""
+def stretches(text: str | None) -> Iterator[str]:
+    """A text, with the space that encoding puts first, between words in stretches of bounded size; a longer word is whole."""
     text, at = f" {text}" if text else "", 0
-    while len(text) - at > LIST_CHARS:
-        m = BETWEEN.search(text, at + LIST_CHARS)
-        if m is None:
-            break
-        yield WORD.findall(text, at, m.start())
+    while len(text) - at > LIST_CHARS and (m := BETWEEN.search(text, at + LIST_CHARS)):
+        yield text[at : m.start()]
         at = m.start()
-    yield WORD.findall(text, at)
+    yield text[at:]
+
+
+class _Numbers(dict):
+    """Numbers of words, which get them as they come; lead is what the word has before the key."""
+
+    def __init__(self, names: list[str], lead: str):
+        super().__init__()
+        self.names, self.lead = names, lead
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self.names)
+        self.names.append(self.lead + key)
+        return n
+
+
+class Words:
+    """The distinct words of texts, and texts as numbers of words: words_of(), by splitting at single spaces where it can."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.plain, self.spaced = _Numbers(self.names, ""), _Numbers(self.names, " ")
+
+    def numbers(self, text: str | None) -> np.ndarray:
+        plain, spaced, out = self.plain, self.spaced, []
+        for stretch in stretches(text):
+            for k, line in enumerate(stretch.split("\n")):
+                if k:
+                    out.append(plain["\n"])
+                if "  " in line or line[-1:] == " ":
+                    out += [spaced[w[1:]] if w[0] == " " and w[1:2] not in ("", " ") else plain[w] for w in WORD.findall(line)]
+                elif line:
+                    parts = line.split(" ")
+                    if parts[0]:
+                        out.append(plain[parts[0]])
+                    out.extend(map(spaced.__getitem__, parts[1:]))
+        return np.array(out, np.int32)
 
 
 def _edges(windows: DataFrame, keys: list[str], vocabulary: Vocabulary) -> DataFrame:
@@ -246,18 +279,28 @@ def _listed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.values.slice(at[0], at[-1] - at[0]), at[1:] - at[0]
 
 
+def _planes(*arrays: np.ndarray) -> list[tuple[bytes, int]]:
+    """Whole numbers byte by byte, first bytes first: small numbers compress well."""
+    return [(np.ascontiguousarray(a, "<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), len(a)) for a in arrays]
+
+
+def _unplaned(parts: list[tuple[bytes, int]]) -> list[np.ndarray]:
+    return [np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, n).T).view("<i4").reshape(n).astype(np.int64) for raw, n in parts]
+
+
 def _count_units(joined: np.ndarray):
     def run(batches):
         from collections import Counter
 
         for batch in batches:
-            words: Counter = Counter()
+            words, counts = Words(), np.zeros(0, np.int64)
             for t in batch.column("text"):
-                for own in word_lists(t.as_py()):
-                    words.update(own)
+                own = np.bincount(words.numbers(t.as_py()), minlength=len(counts))
+                own[: len(counts)] += counts
+                counts = own
             seen: Counter = Counter()
-            units, sizes = cuts_of(list(words), joined) if words else ([], np.zeros(0, int))
-            for u, n in zip(units, np.repeat(list(words.values()), sizes).tolist(), strict=True):
+            units, sizes = cuts_of(words.names, joined) if words.names else ([], np.zeros(0, int))
+            for u, n in zip(units, np.repeat(counts, sizes).tolist(), strict=True):
                 if len(u) <= HOT_LENGTH:
                     seen[u] += n
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["unit", "n"])
@@ -265,15 +308,15 @@ def _count_units(joined: np.ndarray):
     return run
 
 
-_dictionaries: dict[str, dict[str, bytes]] = {}
+_dictionaries: dict[str, dict[str, int]] = {}
 
 
-def _dictionary(shared, key: str) -> dict[str, bytes]:
-    """The dictionary of frequent units, unpacked once per worker."""
+def _dictionary(shared, key: str) -> dict[str, int]:
+    """The places of frequent units in the dictionary, made once per worker."""
     if key not in _dictionaries:
         _dictionaries.clear()
-        names, ends, flat = shared.value
-        _dictionaries[key] = {name: flat[4 * i : 4 * j] for name, i, j in zip(names.split("\x00") if names else [], [0, *ends], ends, strict=False)}
+        names = shared.value[0]
+        _dictionaries[key] = {name: i for i, name in enumerate(names.split("\x00") if names else [])}
     return _dictionaries[key]
 
 
@@ -282,45 +325,42 @@ def _windows(unit: str, key: str, reach: int) -> list[tuple[str, int, int, str]]
     return [(key, w, min(at, reach - 1), unit[max(0, at - reach + 1) : at + WINDOW]) for w, at in enumerate(range(0, len(unit), WINDOW))]
 
 
-_LONG = pa.list_(pa.struct([("unit", pa.string()), ("w", pa.int32()), ("skip", pa.int32()), ("text", pa.string())]))
-
-
 class _Block:
     """Documents that are worked on together: each distinct word is cut once, each distinct unit looked up once."""
 
     def __init__(self):
-        self.words: dict[str, int] = {}
-        self.tokens, self.ends, self.places, self.doc_ids, self.size, self.n = [], [], [], [], 0, 0
+        self.words, self.tokens, self.places, self.doc_ids, self.size = Words(), [], [], [], 0
 
     def add(self, place: int, doc_id: int | None, text: str | None) -> None:
-        put = self.words.setdefault
-        for own in word_lists(text):
-            self.tokens.append(np.array([put(w, len(self.words)) for w in own], np.int32))
-            self.n += len(own)
-        self.ends.append(self.n)
+        self.tokens.append(self.words.numbers(text))
         self.places.append(place)
         self.doc_ids.append(doc_id)
         self.size += len(text or "") + 32
 
-    def row(self, hot: dict[str, bytes], joined: np.ndarray, reach: int, press) -> tuple[bytes, list[str], list[tuple]]:
+    def row(self, hot: dict[str, int], joined: np.ndarray, reach: int, press) -> tuple[bytes, list[str], list[tuple]]:
         """(the documents, packed; units that the dictionary lacks; windows of the long ones)."""
-        units, sizes = cuts_of(list(self.words), joined) if self.words else ([], np.zeros(0, np.int64))
+        tokens, names = np.concatenate(self.tokens), self.words.names
+        order = np.argsort(-np.bincount(tokens, minlength=len(names)), kind="stable")  # frequent words get small numbers
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        units, sizes = cuts_of([names[i] for i in order.tolist()], joined) if names else ([], np.zeros(0, np.int64))
         seen: dict[str, int] = {}
-        flat = np.array([seen.setdefault(u, len(seen)) for u in units], np.int32)
-        known = [hot.get(u) for u in seen]
-        cold = [u for u, ids in zip(seen, known, strict=True) if ids is None]
+        flat = np.array([seen.setdefault(u, len(seen)) for u in units], np.int64)
+        known = np.array([hot.get(u, -1) for u in seen], np.int64)
+        cold = [u for u, i in zip(seen, known.tolist(), strict=True) if i < 0]
         windows = []
         for i, u in enumerate(cold):
             if len(u) > WINDOW:
                 cold[i] = "\n" + hashlib.sha256(u.encode("utf-8", "surrogatepass")).hexdigest()
                 windows += _windows(u, cold[i], reach)
-        lengths = np.array([-1 if x is None else len(x) // 4 for x in known], np.int32)
-        ids = np.frombuffer(b"".join(x for x in known if x is not None), np.int32)
-        tokens = np.concatenate(self.tokens) if self.tokens else np.zeros(0, np.int32)
-        parts = (self.places, self.doc_ids, np.array(self.ends, np.int64), tokens, sizes.astype(np.int32), flat, lengths, ids)
+        ahead = np.concatenate([[0], np.maximum.accumulate(flat)[:-1] + 1])[: len(flat)] - flat  # 0 where a unit comes first
+        parts = (self.places, self.doc_ids, _planes(np.array([len(t) for t in self.tokens]), rank[tokens], sizes, ahead, known + 1))
         return press.compress(pickle.dumps(parts, 5)), cold, windows
 
 
+_LONG = pa.list_(pa.struct([("unit", pa.string()), ("w", pa.int32()), ("skip", pa.int32()), ("text", pa.string())]))
+
+
 def _blocks(shared, key: str, joined: np.ndarray, reach: int, block_docs: int, ordered: bool):
     """Rows block, docs, units, long: each of block_docs documents and BLOCK_CHARS characters at most, or one long document.
 
@@ -351,34 +391,37 @@ def _blocks(shared, key: str, joined: np.ndarray, reach: int, block_docs: int, o
     return run
 
 
-def _assembled(byte_ids: list[int]):
-    """place, doc_id, ids of the documents of each block, from its packed documents and the codes of its cold units."""
+def _assembled(shared, byte_ids: list[int]):
+    """doc_id, ids of the documents of each block, from its packed documents and the codes of its cold units."""
 
     def run(batches):
-        unpress = zstandard.ZstdDecompressor()
+        unpress, (_, hot_ends, hot_ids) = zstandard.ZstdDecompressor(), shared.value
+        hot_ends = np.concatenate([[0], hot_ends])
         for batch in batches:
-            for docs, told in zip(batch.column("docs"), batch.column("told"), strict=True):
-                places, doc_ids, ends, tokens, sizes, flat, lengths, ids = pickle.loads(unpress.decompress(docs.as_py()))
-                lengths, pool = lengths.astype(np.int64), ids
-                starts = np.cumsum(np.maximum(lengths, 0)) - np.maximum(lengths, 0)
-                cold = np.flatnonzero(lengths < 0)
+            for docs, n_cold, told in zip(batch.column("docs"), batch.column("n_cold"), batch.column("told"), strict=True):
+                places, doc_ids, parts = pickle.loads(unpress.decompress(docs.as_py()))
+                n_tokens, tokens, sizes, ahead, known = _unplaned(parts)
+                first = ahead == 0
+                flat = np.cumsum(first) - first - ahead
+                starts, lengths, pool = hot_ends[known - 1], np.where(known > 0, hot_ends[known] - hot_ends[known - 1], 0), hot_ids
+                cold = np.flatnonzero(known == 0)
                 if len(cold):
                     pos = told.values.field("pos").to_numpy()
                     codes, stops = _listed(told.values.field("codes"))
                     more, stops = _flat_ids(codes.to_numpy(), np.concatenate([[0], stops]), byte_ids)
-                    assert len(set(pos.tolist())) == len(cold), "units without ids"
-                    starts[cold[pos]], lengths[cold[pos]] = stops[:-1] + len(ids), np.diff(stops)
-                    pool = np.concatenate([ids, more])
+                    if not len(cold) == n_cold.as_py() == len(set(pos.tolist())):
+                        raise RuntimeError("a block has not got the ids of all its units")
+                    starts[cold[pos]], lengths[cold[pos]] = stops[:-1] + len(pool), np.diff(stops)
+                    pool = np.concatenate([pool, more])
                 # units of each word, then words of each document
-                words, _ = gather(pool, starts, lengths, flat)
-                unit_ends = np.concatenate([[0], np.cumsum(lengths[flat])])
-                word_ends = unit_ends[np.cumsum(sizes)] if len(sizes) else np.zeros(0, np.int64)
+                words, unit_ends = gather(pool, starts, lengths, flat)
+                word_ends = np.concatenate([[0], unit_ends])[np.cumsum(sizes)]
                 word_sizes = np.diff(word_ends, prepend=0)
                 out = [gather(words, word_ends - word_sizes, word_sizes, tokens[i : i + TOKENS])[0] for i in range(0, len(tokens), TOKENS)]
-                done = np.concatenate([[0], np.cumsum(word_sizes[tokens])])[np.concatenate([[0], ends])]
-                lists = pa.LargeListArray.from_arrays(pa.array(done, pa.int64()), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32), pa.int32())).cast(pa.list_(pa.int32()))
+                ends = np.concatenate([[0], np.cumsum(word_sizes[tokens])])[np.concatenate([[0], np.cumsum(n_tokens)])]
+                lists = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32), pa.int32())).cast(pa.list_(pa.int32()))
                 for i in range(0, len(places), 256):
-                    yield pa.RecordBatch.from_arrays([pa.array(doc_ids[i : i + 256], pa.int64()), lists[i : i + 256]], names=["doc_id", "ids"])
+                    yield pa.RecordBatch.from_arrays([pa.array(places[i : i + 256], pa.int64()), pa.array(doc_ids[i : i + 256], pa.int64()), lists[i : i + 256]], names=["place", "doc_id", "ids"])
 
     return run
 
@@ -386,36 +429,40 @@ def _assembled(byte_ids: list[int]):
 def encode(docs: DataFrame, model: str = MODEL, place: str | None = None) -> DataFrame:
     """doc_id, ids array<int> for every row of docs(doc_id, text).
 
-    place: a column of places that rise along docs; then rows come in their order, partition after partition.
+    place: a column of places that rise along docs; it is returned too, and rows come in its order, partition after partition.
     """
     spark, vocabulary = docs.sparkSession, Vocabulary.load(model)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.col(place) if place else F.lit(0)).cast("long").alias("place"))
     joined = np.sort(np.array([ord(p[0]) << 32 | ord(p[1]) for p in vocabulary.joined], np.uint64))
-    seen = bounded_sample(docs, SAMPLE_DOCS, F.col("doc_id")).select("text").mapInArrow(tidy(_count_units(joined)), "unit string, n long")
+    # no unit is longer than its word, which is spaces and what follows them
+    n, any_long = docs.agg(F.count(F.lit(1)), F.max(F.rlike("text", F.lit(f"[^ \\n]{{{WINDOW // 2}}}| {{{WINDOW // 2}}}")))).first()
+    seen = bounded_sample(docs, SAMPLE_DOCS, F.col("doc_id"), n=n).select("text").mapInArrow(tidy(_count_units(joined)), "unit string, n long")
     frequent = seen.groupBy("unit").agg(F.sum("n").alias("n")).where("n > 1 and instr(unit, '\\0') = 0").orderBy(F.desc("n"), "unit").limit(HOT_UNITS).select("unit").repartition(16, "unit")
     known = lattice(frequent, vocabulary).toArrow().combine_chunks()
     codes, ends = _listed(known.column("codes").chunk(0)) if known.num_rows else (pa.array([], pa.int32()), np.zeros(0, np.int64))
     ids, ends = _flat_ids(codes.to_numpy(), np.concatenate([[0], ends]), vocabulary.byte_ids)
-    shared = spark.sparkContext.broadcast(("\x00".join(known.column("unit").to_pylist()), ends[1:].tolist(), ids.tobytes()))
+    shared = spark.sparkContext.broadcast(("\x00".join(known.column("unit").to_pylist()), ends[1:], ids))
     key = f"{shared._jbroadcast.id()}-{spark.sparkContext.applicationId}"
     del known, codes, ids
 
-    scratch = Scratch(spark, "sentencepiece")
-    schema = "block long, docs binary, units array<string>, long array<struct<unit:string,w:int,skip:int,text:string>>"
-    blocks = scratch.keep(docs.mapInArrow(tidy(_blocks(shared, key, joined, vocabulary.reach, BLOCK_DOCS, place is not None)), schema))
-    parts = max(8, blocks.agg(F.sum(F.size("units"))).first()[0] or 0) // UNITS_A_PART + 1
-    # no block is negative: the filter makes both uses of cold read the same columns, so that its shuffle is made once
-    cold = blocks.select("block", F.posexplode("units").alias("pos", "unit")).repartition(max(8, parts), "unit")
-    made = lattice(cold.groupBy("unit").agg(F.min("block").alias("least"), F.min("pos").alias("pos")).where(f"least >= 0 and pos >= 0 and {_SHORT}").select("unit"), vocabulary)
+    schema = StructType([StructField("block", LongType(), False), *_parse_datatype_string("docs binary, units array<string>, long array<struct<unit:string,w:int,skip:int,text:string>>").fields])
+    blocks = docs.mapInArrow(tidy(_blocks(shared, key, joined, vocabulary.reach, BLOCK_DOCS, place is not None)), schema).repartition(max(8, n // DOCS_A_PART), "block")
+    parts = max(8, n // BLOCK_DOCS)
+    # The conditions on docs, least and pos hold always. They make all uses of blocks, and both of cold, read the same
+    # columns, so that Spark makes each of the two shuffles once.
+    units = F.when(F.col("docs").isNotNull(), F.col("units"))
+    cold = blocks.select("block", F.posexplode(units).alias("pos", "unit")).repartition(parts, "unit")
+    made = lattice(cold.groupBy("unit").agg(F.min("block").alias("least"), F.min("pos").alias("pos")).where(f"least is not null and pos >= 0 and {_SHORT}").select("unit"), vocabulary)
     told = cold.join(made, "unit").select("block", "pos", "codes")
-    if blocks.where("size(long) > 0").take(1):
-        windows = blocks.select(F.explode("long").alias("x")).select("x.*").repartition(max(8, parts), "unit", "w").dropDuplicates(["unit", "w"])
+    if any_long:
+        windows = blocks.select(F.explode("long").alias("x")).select("x.*").repartition(parts, "unit", "w").dropDuplicates(["unit", "w"])
         told = told.unionByName(cold.where(f"not ({_SHORT})").join(long_lattice(windows, vocabulary), "unit").select("block", "pos", "codes"))
     told = told.groupBy("block").agg(F.collect_list(F.struct("pos", "codes")).alias("told"))
-    whole = blocks.select("block", "docs").join(told, "block", "left")
+    whole = blocks.join(told, "block", "left").select("block", "docs", F.size("units").alias("n_cold"), "told")
     if place is not None:
         whole = whole.repartitionByRange("block").sortWithinPartitions("block")
-    return whole.select("docs", "told").mapInArrow(tidy(_assembled(vocabulary.byte_ids)), "doc_id long, ids array<int>")
+    out = whole.select("docs", "n_cold", "told").mapInArrow(tidy(_assembled(shared, vocabulary.byte_ids)), "place long, doc_id long, ids array<int>")
+    return out.select(*(["place"] if place else []), "doc_id", "ids")
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:

@@ -143,8 +143,9 @@ def test_long_units_go_in_windows(spark, monkeypatch):
 
 def test_words_in_lists_are_the_words(monkeypatch):
     monkeypatch.setattr(sp, "LIST_CHARS", 5)
-    for text in ("ab cd  ef\n\n gh   ", "x" * 40, "a b\nc d e f g\n\n\n  h", " ", "\n"):
-        assert [w for own in sp.word_lists(text) for w in own] == sp.words_of(text)
+    for text in (None, "", "ab cd  ef\n\n gh   ", "x" * 40, "a b\nc d e f g\n\n\n  h", " ", "\n"):
+        words = sp.Words()
+        assert [words.names[i] for i in words.numbers(text)] == sp.words_of(text) and len(set(words.names)) == len(words.names)
 
 
 def test_decoding_reads_odd_ids(spark):
