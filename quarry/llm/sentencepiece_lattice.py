@@ -1,6 +1,6 @@
 """SentencePiece encoding and decoding by a relational lattice.
 
-Units. Between two characters that no piece of the vocabulary holds side by side every path has a cut, so the best path
+Units. Between two characters that no piece can stand across (Joints) every path has a cut, so the best path
 of a text is the best paths of its units, the stretches between such cuts, one after another.
 
 Pieces. A piece that scores less than the best path through its own parts is on no best path of any text; such pieces are
@@ -44,13 +44,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType, _parse_datatype_string
 
 from quarry.llm.arrowtext import tidy
-from quarry.llm.textfeatures import bounded_sample
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-MOST_PIECES, HOT_UNITS, HOT_LENGTH, SAMPLE_DOCS = 1 << 20, 1 << 17, 64, 16384
+MOST_PIECES, HOT_UNITS, HOT_LENGTH, SAMPLE_DOCS = 1 << 20, 1 << 17, 64, 8192
 #: Documents and characters of a block, documents of a partition of blocks, positions of a window of a long unit, tokens
 #: and characters that Python works on at once.
-BLOCK_DOCS, BLOCK_CHARS, DOCS_A_PART, WINDOW, TOKENS, LIST_CHARS = 1024, 2 << 20, 4096, 512, 1 << 18, 1 << 20
+BLOCK_DOCS, BLOCK_CHARS, DOCS_A_PART, WINDOW, TOKENS, LIST_CHARS = 4096, 6 << 20, 4096, 512, 1 << 18, 1 << 20
 WORD = re.compile(r" *[^ \n]+| +|\n")
 #: Places where a word ends whatever comes before it.
 BETWEEN = re.compile(r"(?<=[^ \n])(?=[ \n])|(?<=\n)")
@@ -68,7 +67,7 @@ class Vocabulary:
         self.unknown = min((s for _, _, s in pieces if s > -1e8), default=0.0) - 10.0
         self.useful = [x for x in pieces if len(x[0]) == 1 or self._parts(x[0]) <= x[2] + 1e-9 * abs(x[2])]
         self.reach = max(len(p) for p, _, _ in self.useful)
-        self.joined = {p[i : i + 2] for p, _, _ in self.useful for i in range(len(p) - 1)}
+        self.joints = Joints([p for p, _, _ in self.useful])
         if len(pieces) > MOST_PIECES or self.reach > 63 or any(re.search(r"[^ ] |.\n|\n.", p, re.S) for p, _, _ in pieces):
             raise ValueError("a vocabulary whose pieces cross words, or too large a one")
         if len({xxhash.xxh64_intdigest(p.encode(), 42) for p, _, _ in pieces}) < len(pieces):
@@ -107,27 +106,51 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(" " + text) if text else []
 
 
-def units_of(word: str, joined: set[str]) -> list[str]:
-    """A word cut between characters that no piece holds side by side."""
-    if len(word) < 2:
-        return [word]
-    cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in joined]
-    return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)] if cuts else [word]
+class Joints:
+    """Where a piece may stand across two characters: a piece of just these two, or one that holds them with a third.
 
+    Held as marks by hash: what is marked for another's sake only leaves a unit longer, which changes no path.
+    """
+
+    def __init__(self, pieces: list[str]):
+        two, three = [p for p in pieces if len(p) == 2], [p[i : i + 3] for p in pieces for i in range(len(p) - 2)]
+        self.two, self.three = np.zeros(1 << 18, bool), np.zeros(1 << 22, bool)
+        for table, names, find in ((self.two, two, self.pairs), (self.three, three, self.triples)):
+            if names:
+                c = self.characters("".join(names))
+                table[find(c)[:: len(names[0])]] = True
+
+    @staticmethod
+    def characters(text: str) -> np.ndarray:
+        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
-def cuts_of(words: list[str], joined: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """(units of all words, in order; how many each word has): units_of() for many words at once."""
-    flat = "".join(words)
-    c = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    ends = np.cumsum([len(w) for w in words])
-    cut = np.ones(len(c), bool)  # a unit begins here
-    if len(c) > 1 and len(joined):
-        pairs = c[:-1] << np.uint64(32) | c[1:]
-        cut[1:] = joined[np.minimum(np.searchsorted(joined, pairs), len(joined) - 1)] != pairs
-    cut[ends[:-1]] = True
-    starts = np.flatnonzero(cut)
-    edges = [*starts.tolist(), len(flat)]
-    return [flat[i:j] for i, j in itertools.pairwise(edges)], np.diff(np.searchsorted(starts, ends), prepend=0)
+    @staticmethod
+    def pairs(c: np.ndarray) -> np.ndarray:
+        return (c[:-1] * np.uint32(0x9E3779B1) + c[1:] * np.uint32(0x85EBCA77)) >> np.uint32(14)
+
+    @staticmethod
+    def triples(c: np.ndarray) -> np.ndarray:
+        h = c[:-2] * np.uint32(0x9E3779B1) + c[1:-1] * np.uint32(0x85EBCA77) + c[2:] * np.uint32(0xC2B2AE3D)
+        return (h ^ h >> np.uint32(15)) * np.uint32(0x27D4EB2F) >> np.uint32(10)
+
+    def cut(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """(units of all words, in order; how many each word has)."""
+        flat = "".join(words)
+        c, ends = self.characters(flat), np.cumsum([len(w) for w in words])
+        held = np.zeros(len(c) + 1, bool)  # no unit ends before this character
+        if len(c) > 1:
+            held[1:-1] = self.two[self.pairs(c)]
+        if len(c) > 2:
+            three = self.three[self.triples(c)]
+            inner = ends[:-1]
+            three[inner[inner < len(c) - 1] - 1] = False  # two words
+            three[inner[inner > 1] - 2] = False
+            held[1:-2] |= three
+            held[2:-1] |= three
+        held[ends] = False
+        starts = np.flatnonzero(~held[:-1])
+        edges = [*starts.tolist(), len(flat)]
+        return [flat[i:j] for i, j in itertools.pairwise(edges)], np.diff(np.searchsorted(starts, ends), prepend=0)
 
 
 def stretches(text: str | None) -> Iterator[str]:
@@ -288,7 +311,7 @@ def _unplaned(parts: list[tuple[bytes, int]]) -> list[np.ndarray]:
     return [np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, n).T).view("<i4").reshape(n).astype(np.int64) for raw, n in parts]
 
 
-def _count_units(joined: np.ndarray):
+def _count_units(joints: Joints):
     def run(batches):
         from collections import Counter
 
@@ -299,7 +322,7 @@ def _count_units(joined: np.ndarray):
                 own[: len(counts)] += counts
                 counts = own
             seen: Counter = Counter()
-            units, sizes = cuts_of(words.names, joined) if words.names else ([], np.zeros(0, int))
+            units, sizes = joints.cut(words.names) if words.names else ([], np.zeros(0, int))
             for u, n in zip(units, np.repeat(counts, sizes).tolist(), strict=True):
                 if len(u) <= HOT_LENGTH:
                     seen[u] += n
@@ -337,13 +360,13 @@ class _Block:
         self.doc_ids.append(doc_id)
         self.size += len(text or "") + 32
 
-    def row(self, hot: dict[str, int], joined: np.ndarray, reach: int, press) -> tuple[bytes, list[str], list[tuple]]:
+    def row(self, hot: dict[str, int], joints: Joints, reach: int, press) -> tuple[bytes, list[str], list[tuple]]:
         """(the documents, packed; units that the dictionary lacks; windows of the long ones)."""
         tokens, names = np.concatenate(self.tokens), self.words.names
         order = np.argsort(-np.bincount(tokens, minlength=len(names)), kind="stable")  # frequent words get small numbers
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        units, sizes = cuts_of([names[i] for i in order.tolist()], joined) if names else ([], np.zeros(0, np.int64))
+        units, sizes = joints.cut([names[i] for i in order.tolist()]) if names else ([], np.zeros(0, np.int64))
         seen: dict[str, int] = {}
         flat = np.array([seen.setdefault(u, len(seen)) for u in units], np.int64)
         known = np.array([hot.get(u, -1) for u in seen], np.int64)
@@ -361,7 +384,7 @@ class _Block:
 _LONG = pa.list_(pa.struct([("unit", pa.string()), ("w", pa.int32()), ("skip", pa.int32()), ("text", pa.string())]))
 
 
-def _blocks(shared, key: str, joined: np.ndarray, reach: int, block_docs: int, ordered: bool):
+def _blocks(shared, key: str, joints: Joints, reach: int, block_docs: int, ordered: bool):
     """Rows block, docs, units, long: each of block_docs documents and BLOCK_CHARS characters at most, or one long document.
 
     block is the first place, or a number that no other block of the table has.
@@ -372,7 +395,7 @@ def _blocks(shared, key: str, joined: np.ndarray, reach: int, block_docs: int, o
         own, first, last, made = _Block(), 0, None, TaskContext.get().partitionId() << 32
 
         def done():
-            docs, cold, windows = own.row(hot, joined, reach, press)
+            docs, cold, windows = own.row(hot, joints, reach, press)
             return pa.RecordBatch.from_arrays([pa.array([first if ordered else made], pa.int64()), pa.array([docs], pa.binary()), pa.array([cold], pa.list_(pa.string())), pa.array([[dict(zip(("unit", "w", "skip", "text"), w, strict=True)) for w in windows]], _LONG)], names=["block", "docs", "units", "long"])
 
         for batch in batches:
@@ -433,10 +456,10 @@ def encode(docs: DataFrame, model: str = MODEL, place: str | None = None) -> Dat
     """
     spark, vocabulary = docs.sparkSession, Vocabulary.load(model)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.col(place) if place else F.lit(0)).cast("long").alias("place"))
-    joined = np.sort(np.array([ord(p[0]) << 32 | ord(p[1]) for p in vocabulary.joined], np.uint64))
     # no unit is longer than its word, which is spaces and what follows them
     n, any_long = docs.agg(F.count(F.lit(1)), F.max(F.rlike("text", F.lit(f"[^ \\n]{{{WINDOW // 2}}}| {{{WINDOW // 2}}}")))).first()
-    seen = bounded_sample(docs, SAMPLE_DOCS, F.col("doc_id"), n=n).select("text").mapInArrow(tidy(_count_units(joined)), "unit string, n long")
+    share = int(min(1.0, SAMPLE_DOCS / max(1, n)) * (1 << 30))
+    seen = docs.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 30)) < share).select("text").mapInArrow(tidy(_count_units(vocabulary.joints)), "unit string, n long")
     frequent = seen.groupBy("unit").agg(F.sum("n").alias("n")).where("n > 1 and instr(unit, '\\0') = 0").orderBy(F.desc("n"), "unit").limit(HOT_UNITS).select("unit").repartition(16, "unit")
     known = lattice(frequent, vocabulary).toArrow().combine_chunks()
     codes, ends = _listed(known.column("codes").chunk(0)) if known.num_rows else (pa.array([], pa.int32()), np.zeros(0, np.int64))
@@ -446,8 +469,8 @@ def encode(docs: DataFrame, model: str = MODEL, place: str | None = None) -> Dat
     del known, codes, ids
 
     schema = StructType([StructField("block", LongType(), False), *_parse_datatype_string("docs binary, units array<string>, long array<struct<unit:string,w:int,skip:int,text:string>>").fields])
-    blocks = docs.mapInArrow(tidy(_blocks(shared, key, joined, vocabulary.reach, BLOCK_DOCS, place is not None)), schema).repartition(max(8, n // DOCS_A_PART), "block")
-    parts = max(8, n // BLOCK_DOCS)
+    blocks = docs.mapInArrow(tidy(_blocks(shared, key, vocabulary.joints, vocabulary.reach, BLOCK_DOCS, place is not None)), schema).repartition(max(8, n // DOCS_A_PART), "block")
+    parts = max(8, n // DOCS_A_PART * 4)
     # The conditions on docs, least and pos hold always. They make all uses of blocks, and both of cold, read the same
     # columns, so that Spark makes each of the two shuffles once.
     units = F.when(F.col("docs").isNotNull(), F.col("units"))
@@ -504,18 +527,22 @@ def encoding_digest(docs: DataFrame, model: str = MODEL) -> DataFrame:
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), F.length("text").cast("long").alias("n_chars"))
 
 
-def best_path(unit: str, vocabulary: Vocabulary) -> list[int]:
-    """Brute force for tests: Viterbi in plain Python over the same lattice."""
+def best_path(word: str, vocabulary: Vocabulary) -> list[int]:
+    """Brute force for tests: Viterbi in plain Python over all pieces and the whole word."""
     table = vocabulary.table()
-    best: list[tuple[float, list[int]]] = [(0.0, [])]
-    for end in range(1, len(unit) + 1):
+    best: list[tuple[float, int, list[int]]] = [(0.0, 0, [])]  # score, length and ids of the last piece
+    for end in range(1, len(word) + 1):
         options = []
         for size in range(1, min(vocabulary.longest, end) + 1):
-            piece, before = unit[end - size : end], best[end - size]
+            piece, before = word[end - size : end], best[end - size][0]
             if piece in table:
-                options.append((before[0] + table[piece][1], -size, [*before[1], table[piece][0]]))
+                options.append((before + table[piece][1], -size, [table[piece][0]]))
             elif size == 1:
-                options.append((before[0] + vocabulary.unknown, -size, [*before[1], *(vocabulary.byte_ids[b] for b in piece.encode())]))
-        score, _, ids = max(options, key=lambda o: o[:2])
-        best.append((score, ids))
-    return best[-1][1]
+                options.append((before + vocabulary.unknown, -size, [vocabulary.byte_ids[b] for b in piece.encode()]))
+        score, size, ids = max(options, key=lambda o: o[:2])
+        best.append((score, -size, ids))
+    at, out = len(word), []
+    while at:
+        out.append(best[at][2])
+        at -= best[at][1]
+    return [i for ids in reversed(out) for i in ids]

@@ -45,9 +45,9 @@ def unit(counts: np.ndarray) -> np.ndarray:
     return x / np.where(norm == 0, 1, norm)
 
 
-def bounded_sample(df: DataFrame, rows: int, *key: Column, n: int | None = None) -> DataFrame:
-    """About `rows` of the n rows chosen by a hash of key, and never more than twice as many."""
-    n = df.count() if n is None else n
+def bounded_sample(df: DataFrame, rows: int, *key: Column) -> DataFrame:
+    """About `rows` rows chosen by a hash of key, and never more than twice as many."""
+    n = df.count()
     share = min(1.0, rows / max(1, n))
     return df.where(F.pmod(F.xxhash64(*key, F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30)) + (share == 1.0)).limit(2 * rows)
 

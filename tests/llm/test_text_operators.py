@@ -44,8 +44,7 @@ def test_encoding_equals_best_paths_and_decodes(documents, spark):
     got = sp.decode(sp.encode(documents)).collect()
     assert sorted((str(r.doc_id), r.text) for r in got) == sorted((str(r.doc_id), r.text or "") for r in documents.collect())
     for r in got:
-        if len(r.text) < 1500:
-            assert list(r.ids) == [i for w in sp.words_of(r.text) for i in sp.best_path(w, vocabulary)]
+        assert list(r.ids) == [i for w in sp.words_of(r.text) for i in sp.best_path(w, vocabulary)]
     assert sp.encode(documents.limit(0)).collect() == []
 
 
@@ -137,8 +136,7 @@ def test_long_units_go_in_windows(spark, monkeypatch):
     for r in sp.decode(sp.encode(docs)).collect():
         text = texts[4 if r.doc_id == 99 else r.doc_id]
         assert r.text == text
-        if len(text) <= 3000:
-            assert list(r.ids) == [i for w in sp.words_of(text) for u in sp.units_of(w, vocabulary.joined) for i in sp.best_path(u, vocabulary)]
+        assert list(r.ids) == [i for w in sp.words_of(text) for i in sp.best_path(w, vocabulary)]
 
 
 def test_words_in_lists_are_the_words(monkeypatch):
@@ -148,6 +146,21 @@ def test_words_in_lists_are_the_words(monkeypatch):
         assert [words.names[i] for i in words.numbers(text)] == sp.words_of(text) and len(set(words.names)) == len(words.names)
 
 
+def test_no_piece_stands_across_units():
+    vocabulary = sp.Vocabulary.load()
+    words = [" wordings", "übermäßig", " the", "a", "日本語", " ==", "zzqx", " internationalisation", "ab"]
+    units, sizes = vocabulary.joints.cut(words)
+    at = 0
+    for w, n in zip(words, sizes.tolist(), strict=True):
+        own = units[at : at + n]
+        at += n
+        assert "".join(own) == w
+        ends = {sum(map(len, own[:i])) for i in range(1, n)}
+        assert not any(i < e < i + len(p) for p, _, _ in vocabulary.useful for i in range(len(w)) if w.startswith(p, i) for e in ends)
+        assert own == vocabulary.joints.cut([w])[0]
+    assert at == len(units)
+
+
 def test_decoding_reads_odd_ids(spark):
     rows = spark.createDataFrame([(None,), ([],), ([10**6, None, -5],)], "ids array<int>")
     assert [r.text for r in sp.decode(rows).collect()] == [None, "", ""]
