@@ -41,7 +41,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType, _parse_datatype_string
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from quarry.llm.arrowtext import tidy
 
@@ -53,8 +53,8 @@ BLOCK_DOCS, BLOCK_CHARS, DOCS_A_PART, WINDOW, TOKENS, LIST_CHARS = 4096, 6 << 20
 WORD = re.compile(r" *[^ \n]+| +|\n")
 #: Places where a word ends whatever comes before it.
 BETWEEN = re.compile(r"(?<=[^ \n])(?=[ \n])|(?<=\n)")
-#: Cold units that are no name of a long one.
-_SHORT = "(length(unit) = 1 or not startswith(unit, '\n'))"
+#: Entries of a block's list: units, names of long units, windows of these.
+_SHORT, _LONG, _WINDOW = "(length(unit) = 1 or not startswith(unit, '\n'))", "length(unit) = 65 and startswith(unit, '\n')", "length(unit) > 65 and startswith(unit, '\n')"
 SPACE = "▁"
 
 
@@ -343,9 +343,14 @@ def _dictionary(shared, key: str) -> dict[str, int]:
     return _dictionaries[key]
 
 
-def _windows(unit: str, key: str, reach: int) -> list[tuple[str, int, int, str]]:
+def _named(unit: str) -> str:
+    """The name of a long unit; only the line break itself begins with one besides."""
+    return "\n" + hashlib.sha256(unit.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _windows(unit: str, reach: int) -> list[str]:
     """A long unit in windows of its positions, each with the characters before it that a piece may begin in."""
-    return [(key, w, min(at, reach - 1), unit[max(0, at - reach + 1) : at + WINDOW]) for w, at in enumerate(range(0, len(unit), WINDOW))]
+    return [f"{_named(unit)}\n{w}\n{min(at, reach - 1)}\n{unit[max(0, at - reach + 1) : at + WINDOW]}" for w, at in enumerate(range(0, len(unit), WINDOW))]
 
 
 class _Block:
@@ -360,8 +365,8 @@ class _Block:
         self.doc_ids.append(doc_id)
         self.size += len(text or "") + 32
 
-    def row(self, hot: dict[str, int], joints: Joints, reach: int, press) -> tuple[bytes, list[str], list[tuple]]:
-        """(the documents, packed; units that the dictionary lacks; windows of the long ones)."""
+    def row(self, hot: dict[str, int], joints: Joints, reach: int, press) -> tuple[bytes, list[str]]:
+        """(the documents, packed; units that the dictionary lacks, long ones by name, and then the windows of these)."""
         tokens, names = np.concatenate(self.tokens), self.words.names
         order = np.argsort(-np.bincount(tokens, minlength=len(names)), kind="stable")  # frequent words get small numbers
         rank = np.empty(len(order), np.int64)
@@ -371,21 +376,14 @@ class _Block:
         flat = np.array([seen.setdefault(u, len(seen)) for u in units], np.int64)
         known = np.array([hot.get(u, -1) for u in seen], np.int64)
         cold = [u for u, i in zip(seen, known.tolist(), strict=True) if i < 0]
-        windows = []
-        for i, u in enumerate(cold):
-            if len(u) > WINDOW:
-                cold[i] = "\n" + hashlib.sha256(u.encode("utf-8", "surrogatepass")).hexdigest()
-                windows += _windows(u, cold[i], reach)
+        entries = [u if len(u) <= WINDOW else _named(u) for u in cold] + [w for u in cold if len(u) > WINDOW for w in _windows(u, reach)]
         ahead = np.concatenate([[0], np.maximum.accumulate(flat)[:-1] + 1])[: len(flat)] - flat  # 0 where a unit comes first
-        parts = (self.places, self.doc_ids, _planes(np.array([len(t) for t in self.tokens]), rank[tokens], sizes, ahead, known + 1))
-        return press.compress(pickle.dumps(parts, 5)), cold, windows
-
-
-_LONG = pa.list_(pa.struct([("unit", pa.string()), ("w", pa.int32()), ("skip", pa.int32()), ("text", pa.string())]))
+        parts = (self.places, self.doc_ids, len(entries), _planes(np.array([len(t) for t in self.tokens]), rank[tokens], sizes, ahead, known + 1))
+        return press.compress(pickle.dumps(parts, 5)), entries
 
 
 def _blocks(shared, key: str, joints: Joints, reach: int, block_docs: int, ordered: bool):
-    """Rows block, docs, units, long: each of block_docs documents and BLOCK_CHARS characters at most, or one long document.
+    """Rows block, docs, units: each of block_docs documents and BLOCK_CHARS characters at most, or one long document.
 
     block is the first place, or a number that no other block of the table has.
     """
@@ -395,8 +393,8 @@ def _blocks(shared, key: str, joints: Joints, reach: int, block_docs: int, order
         own, first, last, made = _Block(), 0, None, TaskContext.get().partitionId() << 32
 
         def done():
-            docs, cold, windows = own.row(hot, joints, reach, press)
-            return pa.RecordBatch.from_arrays([pa.array([first if ordered else made], pa.int64()), pa.array([docs], pa.binary()), pa.array([cold], pa.list_(pa.string())), pa.array([[dict(zip(("unit", "w", "skip", "text"), w, strict=True)) for w in windows]], _LONG)], names=["block", "docs", "units", "long"])
+            docs, units = own.row(hot, joints, reach, press)
+            return pa.RecordBatch.from_arrays([pa.array([first if ordered else made], pa.int64()), pa.array([docs], pa.binary()), pa.array([units], pa.list_(pa.string()))], names=["block", "docs", "units"])
 
         for batch in batches:
             for place, doc_id, text in zip(*(batch.column(c) for c in ("place", "doc_id", "text")), strict=True):
@@ -421,8 +419,8 @@ def _assembled(shared, byte_ids: list[int]):
         unpress, (_, hot_ends, hot_ids) = zstandard.ZstdDecompressor(), shared.value
         hot_ends = np.concatenate([[0], hot_ends])
         for batch in batches:
-            for docs, n_cold, told in zip(batch.column("docs"), batch.column("n_cold"), batch.column("told"), strict=True):
-                places, doc_ids, parts = pickle.loads(unpress.decompress(docs.as_py()))
+            for docs, n_units, told in zip(batch.column("docs"), batch.column("n_units"), batch.column("told"), strict=True):
+                places, doc_ids, n_entries, parts = pickle.loads(unpress.decompress(docs.as_py()))
                 n_tokens, tokens, sizes, ahead, known = _unplaned(parts)
                 first = ahead == 0
                 flat = np.cumsum(first) - first - ahead
@@ -432,7 +430,7 @@ def _assembled(shared, byte_ids: list[int]):
                     pos = told.values.field("pos").to_numpy()
                     codes, stops = _listed(told.values.field("codes"))
                     more, stops = _flat_ids(codes.to_numpy(), np.concatenate([[0], stops]), byte_ids)
-                    if not len(cold) == n_cold.as_py() == len(set(pos.tolist())):
+                    if len(cold) != len(set(pos.tolist())) or n_entries != n_units.as_py():
                         raise RuntimeError("a block has not got the ids of all its units")
                     starts[cold[pos]], lengths[cold[pos]] = stops[:-1] + len(pool), np.diff(stops)
                     pool = np.concatenate([pool, more])
@@ -456,8 +454,7 @@ def encode(docs: DataFrame, model: str = MODEL, place: str | None = None) -> Dat
     """
     spark, vocabulary = docs.sparkSession, Vocabulary.load(model)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.col(place) if place else F.lit(0)).cast("long").alias("place"))
-    # no unit is longer than its word, which is spaces and what follows them
-    n, any_long = docs.agg(F.count(F.lit(1)), F.max(F.rlike("text", F.lit(f"[^ \\n]{{{WINDOW // 2}}}| {{{WINDOW // 2}}}")))).first()
+    n = docs.count()
     share = int(min(1.0, SAMPLE_DOCS / max(1, n)) * (1 << 30))
     seen = docs.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 30)) < share).select("text").mapInArrow(tidy(_count_units(vocabulary.joints)), "unit string, n long")
     frequent = seen.groupBy("unit").agg(F.sum("n").alias("n")).where("n > 1 and instr(unit, '\\0') = 0").orderBy(F.desc("n"), "unit").limit(HOT_UNITS).select("unit").repartition(16, "unit")
@@ -468,23 +465,24 @@ def encode(docs: DataFrame, model: str = MODEL, place: str | None = None) -> Dat
     key = f"{shared._jbroadcast.id()}-{spark.sparkContext.applicationId}"
     del known, codes, ids
 
-    schema = StructType([StructField("block", LongType(), False), *_parse_datatype_string("docs binary, units array<string>, long array<struct<unit:string,w:int,skip:int,text:string>>").fields])
-    blocks = docs.mapInArrow(tidy(_blocks(shared, key, vocabulary.joints, vocabulary.reach, BLOCK_DOCS, place is not None)), schema).repartition(max(8, n // DOCS_A_PART), "block")
+    schema = StructType([StructField("block", LongType(), False), StructField("docs", BinaryType()), StructField("units", ArrayType(StringType()))])
+    blocks = docs.mapInArrow(tidy(_blocks(shared, key, vocabulary.joints, vocabulary.reach, BLOCK_DOCS, place is not None)), schema).repartition("block")
     parts = max(8, n // DOCS_A_PART * 4)
     # The conditions on docs, least and pos hold always. They make all uses of blocks, and both of cold, read the same
     # columns, so that Spark makes each of the two shuffles once.
-    units = F.when(F.col("docs").isNotNull(), F.col("units"))
-    cold = blocks.select("block", F.posexplode(units).alias("pos", "unit")).repartition(parts, "unit")
-    made = lattice(cold.groupBy("unit").agg(F.min("block").alias("least"), F.min("pos").alias("pos")).where(f"least is not null and pos >= 0 and {_SHORT}").select("unit"), vocabulary)
+    listed = blocks.select("block", F.posexplode(F.when(F.col("docs").isNotNull(), F.col("units"))).alias("pos", "unit"))
+    cold = listed.where(_SHORT).repartition(parts, "unit")
+    made = lattice(cold.groupBy("unit").agg(F.min("block").alias("least"), F.min("pos").alias("pos")).where("least is not null and pos >= 0").select("unit"), vocabulary)
     told = cold.join(made, "unit").select("block", "pos", "codes")
-    if any_long:
-        windows = blocks.select(F.explode("long").alias("x")).select("x.*").repartition(parts, "unit", "w").dropDuplicates(["unit", "w"])
-        told = told.unionByName(cold.where(f"not ({_SHORT})").join(long_lattice(windows, vocabulary), "unit").select("block", "pos", "codes"))
+    part = F.split("unit", "\n", 5)  # nothing, name, window, skip, text
+    windows = listed.where(_WINDOW).select(F.concat(F.lit("\n"), part[1]).alias("unit"), part[2].cast("int").alias("w"), part[3].cast("int").alias("skip"), part[4].alias("text"))
+    windows = windows.repartition(parts, "unit", "w").dropDuplicates(["unit", "w"])
+    told = told.unionByName(listed.where(_LONG).join(long_lattice(windows, vocabulary), "unit").select("block", "pos", "codes"))
     told = told.groupBy("block").agg(F.collect_list(F.struct("pos", "codes")).alias("told"))
-    whole = blocks.join(told, "block", "left").select("block", "docs", F.size("units").alias("n_cold"), "told")
+    whole = blocks.join(told, "block", "left").select("block", "docs", F.size("units").alias("n_units"), "told")
     if place is not None:
         whole = whole.repartitionByRange("block").sortWithinPartitions("block")
-    out = whole.select("docs", "n_cold", "told").mapInArrow(tidy(_assembled(shared, vocabulary.byte_ids)), "place long, doc_id long, ids array<int>")
+    out = whole.select("docs", "n_units", "told").mapInArrow(tidy(_assembled(shared, vocabulary.byte_ids)), "place long, doc_id long, ids array<int>")
     return out.select(*(["place"] if place else []), "doc_id", "ids")
 
 
