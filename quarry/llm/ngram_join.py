@@ -7,7 +7,9 @@ on shared prefix shingles; runs of one group end there. The rest is expanded to
 
 A run of k members does not become k * k pairs: two rounds compare each member with a few hubs of its run, the components
 found so far skip what they already hold, and a last round compares every pair across components that passes the exact
-size and position bounds. So no link between components is lost, and no pair inside one is made for nothing.
+size and position bounds and the parity bound: each set carries the parities of its shingles in MARKS places, and two sets
+differ in no more places than in shingles. So no link between components is lost, and texts that share a passage but not
+enough of the rest make no pairs.
 
 Sets are told apart by 128-bit prints. Nodes carry one half as their number; where two prints share that half (some hundred
 times among 1e11 sets) the print gets another number, from a table that all passes are given.
@@ -38,6 +40,8 @@ HUBS = 6
 MOST_CLASHES = 1 << 20
 #: Bytes of sets that a worker gathers before it hands them on.
 SET_BYTES = 4 << 20
+#: Places of the parities, a multiple of 64.
+MARKS = 1024
 
 
 def prints(keys: np.ndarray, bits: int = 64) -> tuple[int, int]:
@@ -46,6 +50,11 @@ def prints(keys: np.ndarray, bits: int = 64) -> tuple[int, int]:
     return a >> (64 - bits), int(mix(keys ^ U(0xA5A5A5A5A5A5A5A5)).sum(dtype=U).view(np.int64))
 
 
+def parities(s: np.ndarray) -> bytes:
+    """Whether the number of a set's shingles that hash to each of MARKS places is odd."""
+    return np.packbits(np.bincount((s >> U(40) & U(MARKS - 1)).astype(np.int64), minlength=MARKS).astype(np.uint8) & 1).tobytes()
+
+
 def renamed(nodes: DataFrame) -> dict[tuple[int, int], int]:
     """New numbers for the prints (gid, hi) that share their gid with others: a small table, whose size is checked."""
     shared = nodes.groupBy("gid").agg(F.min("hi").alias("least"), F.max("hi").alias("most")).where("least < most")
@@ -114,7 +123,7 @@ def _prefixes(width: int, percent: int, ranks, bits: int, new: dict):
         table = np.frombuffer(ranks.value, np.uint8)
         for batch in batches:
             token, group, pos, node, size = [], [], [], [], []
-            member_group, member_node, member_size = [], [], []
+            member_group, member_node, member_size, marks = [], [], [], []
             for _, s in shingle_sets(batch.column("text"), width):
                 if not len(s):
                     continue
@@ -128,6 +137,7 @@ def _prefixes(width: int, percent: int, ranks, bits: int, new: dict):
                 member_group.append(key)
                 member_node.append(new.get(own, own[0]))
                 member_size.append(len(s))
+                marks.append(parities(s))
                 if (key, high) not in told:  # groups that share a key share their tokens: more candidates, none lost
                     told.add((key, high))
                     token.append(head.view(np.int64))
@@ -140,7 +150,8 @@ def _prefixes(width: int, percent: int, ranks, bits: int, new: dict):
             yield pa.RecordBatch.from_arrays([
                 pa.concat_arrays([pa.array(token, pa.int64()), pa.nulls(m, pa.int64())]), pa.array(np.concatenate([group, np.asarray(member_group, np.int64)]), pa.int64()), pa.array(np.concatenate([pos, np.zeros(m)]).astype(np.int32), pa.int32()),
                 pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(member_node, pa.int64())]), pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(member_size, pa.int64())]),
-            ], names=["token", "grp", "pos", "gid", "n"])
+                pa.ListArray.from_arrays(np.concatenate([np.zeros(k + 1), np.arange(1, m + 1) * (MARKS // 64)]).astype(np.int32), pa.array(np.frombuffer(b"".join(marks), np.int64))),
+            ], names=["token", "grp", "pos", "gid", "n", "marks"])
 
     return run
 
@@ -230,7 +241,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, scratch: Scratch, width: int, p
     """
     spark = docs.sparkSession
     pairs = scratch.keep(pairs)
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("gid")).distinct()
+    asked = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("gid")).distinct())
     n = asked.count()
     wide = max(BLOOM_LEAST, min(BLOOM_MOST, (16 * n + 1).bit_length()))
     bloom = spark.sparkContext.broadcast(_joined_parts(asked.mapInArrow(tidy(_bloom_part(wide)), "part int, counts binary"), _any_of) or bytes(1 << (wide - 3)))
@@ -238,7 +249,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, scratch: Scratch, width: int, p
     one = sets.dropDuplicates(["gid"])
     x, y = one.select(F.col("gid").alias("a"), F.col("members").alias("x")), one.select(F.col("gid").alias("b"), F.col("members").alias("y"))
     done = scratch.keep(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(tidy(_verify(percent)), "a long, b long, ok boolean"))
-    for used in (pairs, sets) if n else (pairs,):
+    for used in (pairs, asked, sets) if n else (pairs, asked):
         scratch.drop(used)
     scratch.release()
     return done
@@ -254,13 +265,14 @@ def _star_pairs(runs: DataFrame, turn: int, percent: int) -> DataFrame:
     return near.select(F.least("gid", "hgid").alias("a"), F.greatest("gid", "hgid").alias("b")).distinct()
 
 
-def _cross_pairs(runs: DataFrame, percent: int) -> DataFrame:
-    """Every pair of a run across components: one side is always outside the run's main component."""
+def _cross_pairs(runs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """Every pair of a run across components that passes the bounds: one side is always outside the run's main component."""
     main = runs.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max(F.struct("k", "label")).alias("top"), F.count(F.lit(1)).alias("labels"))
     main = main.where("labels > 1").select("token", F.col("top.label").alias("main"))
-    all_ = runs.join(main, "token")
-    few = all_.where("label <> main").select("token", F.col("gid").alias("g"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("label").alias("other"))
-    near = few.join(all_, "token").where("label <> other and (label = main or g < gid)").where(similar("n", "m", "pos", "q", percent))
+    all_ = runs.join(main, "token").join(marks, "gid")
+    few = all_.where("label <> main").select("token", F.col("gid").alias("g"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("label").alias("other"), F.col("marks").alias("own"))
+    differ = F.aggregate(F.zip_with("marks", "own", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
+    near = few.join(all_, "token").where("label <> other and (label = main or g < gid)").where(similar("n", "m", "pos", "q", percent) & ((100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("m"))))
     return near.select(F.least("gid", "g").alias("a"), F.greatest("gid", "g").alias("b")).distinct()
 
 
@@ -278,7 +290,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, star_
         names = spark.createDataFrame([(*k, v) for k, v in new.items()], "gid long, hi long, own long")
         nodes = nodes.join(F.broadcast(names), ["gid", "hi"], "left").select("doc_id", "n", F.coalesce("own", "gid").alias("gid"))
 
-    heads = docs.mapInArrow(tidy(_prefixes(width, percent, ranks, bits, new)), "token long, grp long, pos int, gid long, n long")
+    heads = docs.mapInArrow(tidy(_prefixes(width, percent, ranks, bits, new)), "token long, grp long, pos int, gid long, n long, marks array<long>")
     meeting = Window.partitionBy(F.coalesce("token", "grp"), F.col("token").isNull())
     own = F.when(F.col("token").isNull(), F.col("gid")).otherwise(F.col("grp"))
     heads = scratch.keep(heads.withColumn("several", F.min(own).over(meeting) < F.max(own).over(meeting)).where("token is null or several"))
@@ -286,13 +298,14 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, star_
     met = heads.where("token is not null").select("token", "grp", "pos").distinct()
     alike = members.where("several").select(F.col("grp").alias("token"), "gid", "n", F.lit(0).alias("pos"))
     runs = scratch.keep(met.join(members, "grp").select("token", "gid", "n", "pos").unionByName(alike))
+    marks = scratch.keep(heads.where("token is null").select("gid", "marks").dropDuplicates(["gid"]).join(runs.select("gid").distinct(), "gid", "left_semi"))
     scratch.drop(heads)
     scratch.release()
 
     tried = links = roots = None
     for turn in range(star_rounds + 1):
         labelled = runs.withColumn("label", F.col("gid")) if roots is None else runs.join(roots, runs.gid == roots.node, "left").select("token", "gid", "n", "pos", F.coalesce("root", "gid").alias("label"))
-        pairs = _star_pairs(labelled, turn, percent) if turn < star_rounds else _cross_pairs(labelled, percent)
+        pairs = _star_pairs(labelled, turn, percent) if turn < star_rounds else _cross_pairs(labelled, marks, percent)
         pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
         done = _verified(docs, pairs, scratch, width, percent, bits, new)
         tried = done.select("a", "b") if tried is None else tried.unionByName(done.select("a", "b"))
