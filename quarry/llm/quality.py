@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.arrowtext import _SPACE
 from quarry.llm.language_id import held_out
-from quarry.llm.textfeatures import bounded_sample, profiles, softmax_regression, unit
+from quarry.llm.textfeatures import bounded_sample, fitted, profiles, softmax_regression, unit
 
 DIMS, META, FIT_ROWS, ROUNDS, SURE = 2048, 96, 2500, 3, 0.95
 _KIND = np.zeros(256, np.uint8)
@@ -101,6 +101,33 @@ class CoTrained:
         return tuple(float(1 / (1 + np.exp(-np.clip(v, -60, 60)))) for v in (*z, both))
 
 
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, dims: int = DIMS) -> CoTrained | None:
+    """Learns from docs(doc_id, text, lang, source) and labels(doc_id, quality); None if there is nothing to tell apart."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("string").alias(c) for c in ("text", "source", "lang")))
+    marked = bounded_sample(labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where("label in (0, 1) and doc_id is not null"), fit_rows, F.col("doc_id"))
+    known = docs.join(F.broadcast(marked), "doc_id").limit(4 * fit_rows)  # the broadcast side has 2 * fit_rows rows at most
+    free = bounded_sample(docs.where("text is not null"), fit_rows, F.col("doc_id")).withColumn("label", F.lit(None).cast("int"))
+    rows = known.select("text", "source", "lang", "label", held_out().alias("fold")).unionByName(free.select("text", "source", "lang", "label", F.lit(False).alias("fold"))).mapInArrow(_views(dims), "label int, fold boolean, a binary, b binary")
+    return fitted(rows, _learn)
+
+
+def _learn(rows: list[tuple]) -> CoTrained | None:
+    told = [r for r in rows if r[0] is not None]
+    if len({r[0] for r in told if not r[1]}) < 2:
+        return None
+    a, b, ua, ub = (np.stack([np.frombuffer(r[j], kind) for r in own]).astype(np.float32) if own else None for own in (told, [r for r in rows if r[0] is None]) for j, kind in ((2, np.float16), (3, np.float32)))
+    if ua is None:
+        ua, ub = a[:0], b[:0]
+    return CoTrained(a, b, np.array([r[0] for r in told], int), np.array([r[1] for r in told], bool), ua, ub)
+
+
+def score(self, a: np.ndarray, b: np.ndarray) -> tuple[float, float, float]:
+        """Chance of good quality by content, by metadata and by both."""
+        z = np.array([_chance(self.w[0], a), _chance(self.w[1], b)], float)
+        both = _chance(self.join, z / self.scale)
+        return tuple(float(1 / (1 + np.exp(-np.clip(v, -60, 60)))) for v in (*z, both))
+
+
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, dims: int = DIMS) -> CoTrained | None:
     """Learns from docs(doc_id, text, lang, source) and labels(doc_id, quality); None if there is nothing to tell apart."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("string").alias(c) for c in ("text", "source", "lang")))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.arrowtext import _LOWER, _SPACE, buffers, chunks
+from quarry.llm.arrowtext import _LOWER, _SPACE, buffers, chunks, tidy
 
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
@@ -52,6 +54,21 @@ def bounded_sample(df: DataFrame, rows: int, *key: Column) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(*key, F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30)) + (share == 1.0)).limit(2 * rows)
 
 
+def fitted(rows: DataFrame, learn):
+    """learn(rows as a list) of a bounded sample, run in one task and not on the driver; None without rows.
+
+    The rows come in an order of their own, whichever tasks they come from.
+    """
+
+    def run(batches):
+        own = [row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        own.sort(key=lambda r: tuple((v is not None, v) if v is not None else (False, 0) for v in r))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(learn(own), 5)], pa.binary())], names=["model"])
+
+    found = rows.repartition(1).mapInArrow(tidy(run), "model binary").collect()  # one row: the model
+    return pickle.loads(found[0].model) if found else None
+
+
 def softmax_regression(x: np.ndarray, y: np.ndarray, classes: int, rounds: int = 300, rate: float = 20.0, decay: float = 1e-5, weight: np.ndarray | None = None) -> np.ndarray:
     """(classes, dims + 1) weights by full-batch gradient descent with momentum; the classes weigh alike."""
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
