@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from quarry.llm.textfeatures import bounded_sample, fitted, has_letter, linear_svm, profiles, softmax_regression, unit
 
@@ -134,8 +135,7 @@ def predict(docs: DataFrame, model: Model | None, dims: int = DIMS) -> DataFrame
                 scores.append(score)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*own, "lang_pred", "score"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def identify_languages(docs: DataFrame) -> DataFrame:

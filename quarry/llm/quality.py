@@ -1,8 +1,8 @@
 """Quality classifier by co-training of two views.
 
-The content view is a logistic regression over hashed byte n-grams of the whole text; the metadata view one over the
-page's metadata: source, declared language, length, and layout counters (lines, words, capitals, digits, marks, repeated
-lines). Over rounds each view labels the unlabelled rows it is surest of and the other view learns from them. Both views
+The content view is a logistic regression over hashed byte n-grams of the whole text and its layout (lines, words,
+capitals, digits, marks); the metadata view one over what is known without reading it: source, declared language and
+length. Over rounds each view labels the unlabelled rows it is surest of and the other view learns from them. Both views
 are then calibrated together (Platt scaling of their margins on rows that neither learnt from), which scores all rows.
 
 Labelled and unlabelled rows are fitted on bounded samples (fit_rows each); scoring covers every row and whole texts.
@@ -20,42 +20,55 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quarry.llm.arrowtext import _SPACE
 from quarry.llm.language_id import held_out
 from quarry.llm.textfeatures import bounded_sample, fitted, profiles, softmax_regression, unit
 
-DIMS, META, FIT_ROWS, ROUNDS, SURE = 2048, 96, 2500, 3, 0.95
+DIMS, META, LAYOUT, FIT_ROWS, ROUNDS, SURE = 2048, 64, 21, 2500, 3, 0.95
 _KIND = np.zeros(256, np.uint8)
 _KIND[65:91], _KIND[97:123], _KIND[48:58], _KIND[128:] = 1, 2, 3, 4
 _KIND[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 5
 
 
-def metadata(source: str | None, lang: str | None, raw: np.ndarray) -> np.ndarray:
-    """The metadata view of a page."""
+def metadata(source: str | None, lang: str | None, n: int) -> np.ndarray:
+    """The metadata view of a page: its source, declared language and length; nothing that its text says."""
     x = np.zeros(META, np.float32)
     x[zlib.crc32(f"source {source}".encode()) % 32] = 0.3
     x[32 + zlib.crc32(f"lang {lang}".encode()) % 16] = 0.3
+    x[48 + min(14, int(np.log2(n + 1)))] = 0.3
+    x[63] = 1.0
+    return x
+
+
+def layout(raw: np.ndarray) -> np.ndarray:
+    """Kinds of characters, lines, words and marks of a text."""
+    x = np.zeros(LAYOUT, np.float32)
     n = len(raw)
     kinds = np.bincount(_KIND[raw], minlength=6)[1:] / max(1, n)
     lines, space = int((raw == 10).sum()) + 1, _SPACE[raw]
     words = int((~space[1:] & space[:-1]).sum()) + int(n > 0 and not space[0])
-    x[48 + min(15, int(np.log2(n + 1)))] = 0.3
-    x[64:69] = 2 * np.sqrt(kinds)
-    x[69:74] = np.log1p(lines) / 5, np.log1p(n / lines) / 8, np.log1p(n / max(1, words)) / 3, np.log1p(words / lines) / 5, 1.0
+    x[:5] = 2 * np.sqrt(kinds)
+    x[5:9] = np.log1p(lines) / 5, np.log1p(n / lines) / 8, np.log1p(n / max(1, words)) / 3, np.log1p(words / lines) / 5
     marks = np.bincount(raw[_KIND[raw] == 5], minlength=127)[33:127].astype(np.float32)
     if marks.sum():
         for j, c in enumerate((33, 35, 36, 37, 38, 42, 44, 46, 124, 64, 47, 58)):
-            x[76 + j] = np.sqrt(marks[c - 33] / max(1, words))
+            x[9 + j] = np.sqrt(marks[c - 33] / max(1, words))
     return x
 
 
+def content(raw: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The content view: hashed byte n-grams of the whole text and its layout."""
+    return np.concatenate([unit(counts), layout(raw)])
+
+
 def _views(dims: int):
     def run(batches):
         for batch in batches:
             labels, source, lang = (batch.column(c).to_pylist() for c in ("label", "source", "lang"))
             fold = batch.column("fold").to_pylist()
-            rows = [(labels[i], fold[i], unit(c).astype(np.float16).tobytes(), metadata(source[i], lang[i], raw).tobytes()) for i, raw, c in profiles(batch.column("text"), dims) if not _SPACE[raw].all()]
+            rows = [(labels[i], fold[i], content(raw, c).astype(np.float16).tobytes(), metadata(source[i], lang[i], len(raw)).tobytes()) for i, raw, c in profiles(batch.column("text"), dims) if not _SPACE[raw].all()]
             kinds = (pa.int32(), pa.bool_(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], names=["label", "fold", "a", "b"])
 
@@ -92,7 +105,7 @@ class CoTrained:
         at = fold if len(set(y[fold])) == 2 else np.ones(len(y), bool)
         z = np.stack([_chance(self.w[0], a[at]), _chance(self.w[1], b[at])], 1)
         self.scale = np.maximum(np.abs(z).max(0), 1e-6)
-        self.join = softmax_regression((z / self.scale).astype(np.float32), y[at], 2, rounds=500, rate=10.0, decay=1e-3, weight=np.ones(at.sum()))
+        self.join = softmax_regression((z / self.scale).astype(np.float32), y[at], 2, rounds=2000, rate=10.0, decay=1e-4)
 
     def score(self, a: np.ndarray, b: np.ndarray) -> tuple[float, float, float]:
         """Chance of good quality by content, by metadata and by both."""
@@ -146,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, dims: int
     return CoTrained(a[told], b[told], y[told], fold[told], a[~told], b[~told])
 
 
-def score(docs: DataFrame, model: CoTrained | None, dims: int = DIMS, least: float = 0.4) -> DataFrame:
+def score(docs: DataFrame, model: CoTrained | None, dims: int = DIMS, least: float = 0.5) -> DataFrame:
     """docs with content_score, metadata_score, quality_score and keep added."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     new = ["content_score", "metadata_score", "quality_score"]
@@ -159,11 +172,11 @@ def score(docs: DataFrame, model: CoTrained | None, dims: int = DIMS, least: flo
             out = []
             for i, raw, counts in profiles(batch.column("text").cast(pa.string()), dims):
                 empty = bool(_SPACE[raw].all())
-                out.append((0.0,) * 3 if empty else (1.0,) * 3 if shared.value is None else shared.value.score(unit(counts), metadata(source[i], lang[i], raw)))
+                out.append((0.0,) * 3 if empty else (1.0,) * 3 if shared.value is None else shared.value.score(content(raw, counts), metadata(source[i], lang[i], len(raw))))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([r[j] for r in out], pa.float64()) for j in range(3))], names=[*own, *new])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kinds}, {', '.join(f'{c} double' for c in new)}").withColumn("keep", F.col("quality_score") >= least)
+    kinds = StructType([*docs.schema.fields, *(StructField(c, DoubleType()) for c in new)])
+    return docs.mapInArrow(run, kinds).withColumn("keep", F.col("quality_score") >= least)
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ def test_stages_keep_columns_and_take_effect(documents, spark, tables):
 
 def test_run(spark, tables):
     out = corpus_pipeline.run(spark, tables)
-    assert out.columns == ["doc_id", "n_tokens", "ids"] and out.count() > 100
+    assert out.columns == ["doc_id", "mix_place", "n_tokens", "ids"] and out.count() > 100
 
 
 def test_run_equals_brute_force_in_the_order_of_the_mixture(spark, tables):
@@ -32,11 +32,11 @@ def test_run_equals_brute_force_in_the_order_of_the_mixture(spark, tables):
     order = sorted(mix_sources(left).collect(), key=lambda r: (r.mix_slot, r.mix_position))
     vocabulary, known = sp.Vocabulary.load(), {}
     want = []
-    for r in order:
+    for place, r in enumerate(order):
         words = sp.words_of(r.text)
         known |= {w: sp.best_path(w, vocabulary) for w in words if w not in known}
         ids = [i for w in words for i in known[w]]
-        want.append((r.doc_id, len(ids), ids))
+        want.append((r.doc_id, place, len(ids), ids))
     assert [tuple(r) for r in corpus_pipeline.run(spark, tables).collect()] == want
 
 
@@ -46,3 +46,26 @@ def test_encoding_keeps_the_order_of_many_blocks(spark, monkeypatch):
     docs = corpus_pipeline.Scratch(spark, "test").keep(docs.orderBy("text", "doc_id"))
     want = [i * 7919 % 1009 for i in sorted(range(1009), key=lambda i: f"text {i}")]
     assert [r.doc_id for r in corpus_pipeline.encode_pieces(spark, docs, "").collect()] == want
+
+
+def test_stages_spare_columns_of_the_same_names(documents, spark, tables):
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars, "x", "y", "z", 7.5, 3) for r in documents.collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score string, keep string, lang_pred string, quality_score double, place int")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, tables)
+        assert out.columns == docs.columns, name
+        assert {(r.score, r.keep, r.lang_pred, r.quality_score, r.place) for r in out.collect()} == {("x", "y", "z", 7.5, 3)}, name
+
+
+def test_rows_of_one_id_and_different_texts_stay(spark, tables):
+    a, b = " ".join(f"word{i}" for i in range(40)), " ".join(f"other{i}" for i in range(40))
+    rows = [(1, a), (1, b), (2, a), (None, b), (None, None), (3, ""), (3, ""), (4, f"{a} more")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, tables).collect()), key=str)
+    assert got == sorted([(1, a), (1, b), (None, None), (3, ""), (3, "")], key=str)
+
+
+def test_empty_table(documents, spark, tables):
+    docs = documents.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, tables).collect() == []
