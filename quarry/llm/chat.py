@@ -9,7 +9,8 @@ Windows: prefix sums of the turns' tokens cut a conversation into spans, aligned
 which its prefix sum ends, spans being half of what the budget leaves beside the system turn. Each window repeats the
 system turn (if the conversation begins with one) and then the last turns of the window before, as many as fit into the
 budget, HISTORY at most. Repeated turns are masked: loss covers each assistant text once, in the window that has it first.
-A window exceeds the budget only by a turn that is itself longer than half of it; turns are never cut.
+A window exceeds the budget only by a turn that is itself longer than half of it; turns are never cut. A system turn of more
+than half the budget stands once, in the first window: repeating it would leave no room and multiply the text.
 
 Defined results: a null text or role is empty; turns are ordered by turn (nulls first), then role and text, and repeated
 rows are turns of their own; a null conv_id is a conversation of its own; extra columns are ignored; empty in, empty out.
@@ -53,12 +54,12 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     rows = rows.withColumn("size", tokens("text"))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("at", F.row_number().over(order)).withColumn("ends", F.sum("size").over(upto)).withColumn("sys", F.first(F.when(F.col("role") == "system", F.col("size")).otherwise(0)).over(upto))
+    rows = rows.withColumn("at", F.row_number().over(order)).withColumn("ends", F.sum("size").over(upto)).withColumn("sys", F.first(F.when((F.col("role") == "system") & (2 * F.col("size") <= budget), F.col("size")).otherwise(0)).over(upto))
     half = F.greatest(F.lit(1), F.floor((budget - F.col("sys")) / 2))
     rows = rows.withColumn("span", F.floor((F.col("ends") - 1) / half))
     spans = rows.groupBy("conv_id", "span").agg(F.sort_array(F.collect_list(F.struct("at", "role", "text", "size"))).alias("turns"), F.sum("size").alias("new"), F.first("sys").alias("sys"))
     along = Window.partitionBy("conv_id").orderBy("span")
-    first = F.first(F.when(F.col("turns")[0]["role"] == "system", F.array(F.col("turns")[0]))).over(along.rowsBetween(Window.unboundedPreceding, 0))
+    first = F.first(F.when((F.col("turns")[0]["role"] == "system") & (2 * F.col("turns")[0]["size"] <= budget), F.array(F.col("turns")[0]))).over(along.rowsBetween(Window.unboundedPreceding, 0))
     none = F.filter("turns", lambda x: F.lit(False))
     spans = spans.withColumn("window", F.row_number().over(along) - 1).withColumn("head", F.when(F.col("window") > 0, F.coalesce(first, none)).otherwise(none))
     spans = spans.withColumn("past", F.coalesce(F.lag(F.slice(F.reverse("turns"), 1, history)).over(along), none))
