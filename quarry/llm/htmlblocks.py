@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 #: Elements whose content is not text, that have no content, and that do not end a block.
 RAW = {"script", "style", "iframe", "noembed", "noframes", "xmp"}
@@ -19,6 +20,8 @@ ENDS_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "
 SELF_CLOSING = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select", "datalist"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 #: Elements whose own kinds of elements are parts of a line, and in which a trailing / ends any element.
 FOREIGN = {"svg", "math"}
+#: Elements of a path that a block carries from either end; what stands between them is open but tells nothing.
+FAR = 24
 KNOWN = RAW | TEXT_ONLY | VOID | INLINE | ENDS_P | set(SELF_CLOSING)
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
@@ -61,7 +64,10 @@ def blocks(page: str | None) -> list[Block]:
     if not page:
         return []
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[str, ...]]] = []  # open elements
+    outer: list[tuple[str, ...]] = []  # marks of the open elements that are no part of a line
+    opened: Counter = Counter()  # open elements by name
+    foreign = 0
     words: list[str] = []
     linked = deep = 0  # characters inside links; how many a are open
     path: tuple = ()
@@ -73,11 +79,14 @@ def blocks(page: str | None) -> list[Block]:
             text = " ".join("".join(words).split())
             if text:
                 if stale:
-                    path, stale = tuple(m for n, m in stack if n not in INLINE), False
+                    path, stale = near(), False
                 out.append(Block(path, text, linked))
             words = []
         linked = 0
 
+    def near() -> tuple:
+        return tuple(outer) if len(outer) <= 2 * FAR else (*outer[:FAR], *outer[-FAR:])
+
     def add(raw: str) -> None:
         nonlocal linked
         text = html.unescape(raw) if "&" in raw else raw
@@ -85,6 +94,27 @@ def blocks(page: str | None) -> list[Block]:
         if deep:
             linked += len(text)
 
+    def push(name: str, marks: tuple[str, ...]) -> None:
+        nonlocal foreign
+        stack.append((name, marks))
+        opened[name] += 1
+        foreign += name in FOREIGN
+        if name not in INLINE:
+            outer.append(marks)
+
+    def close(i: int, only: bool = False) -> None:
+        """The element at i ends, with all inside it (or only itself, an element of a line)."""
+        nonlocal foreign, stale
+        gone = stack[i : i + 1] if only else stack[i:]
+        del stack[i : i + len(gone)]
+        for name, _ in gone:
+            opened[name] -= 1
+            foreign -= name in FOREIGN
+        blocks_gone = sum(name not in INLINE for name, _ in gone)
+        if blocks_gone:
+            del outer[len(outer) - blocks_gone :]
+        stale = True
+
     at, size = 0, len(page)
     while at < size:
         m = TOKEN.search(page, at)
@@ -98,63 +128,57 @@ def blocks(page: str | None) -> list[Block]:
         if name is None:
             continue
         name = name.lower()
-        if name not in KNOWN and any(n in FOREIGN for n, _ in stack):
+        if foreign and name not in KNOWN:
             continue
         if m[1] or m[4]:  # an end tag
             if name not in INLINE:
                 flush()
             elif name == "a":
                 deep = 0
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if opened[name] else ():
                 if stack[i][0] == name:
-                    if name in INLINE and any(n not in INLINE for n, _ in stack[i + 1 :]):
-                        del stack[i]
-                    else:
-                        del stack[i:]
-                    stale = True
+                    close(i, only=name in INLINE and any(n not in INLINE for n, _ in stack[i + 1 :]))
                     break
                 if name in INLINE and stack[i][0] not in INLINE:
                     break
             continue
         attributes = m[3] if m[2] else m[6]
         if name in RAW or name in TEXT_ONLY:
-            if attributes.endswith("/") and any(n in FOREIGN for n, _ in stack):
+            if foreign and attributes.endswith("/"):
                 continue
             flush() if name not in INLINE else None
-            close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+            ends = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             if name in TEXT_ONLY:
-                inner = html.unescape(page[at : close.start() if close else size])
+                inner = html.unescape(page[at : ends.start() if ends else size])
                 text = " ".join(inner.split())
                 if text:
-                    out.append(Block((*(k for n, k in stack if n not in INLINE), tag_marks(name, attributes)), text, 0))
-            at = close.end() if close else size
+                    out.append(Block((*near(), tag_marks(name, attributes)), text, 0))
+            at = ends.end() if ends else size
             continue
         if name in INLINE:
             if name == "a":
                 deep = 1
             if name not in VOID and not attributes.endswith("/"):
-                stack.append((name, (name,)))
+                push(name, (name,))
             continue
         flush()
         stale = True
         if name in VOID:
             continue
         if name in ENDS_P:
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if opened["p"] else ():
                 if stack[i][0] == "p":
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i][0] not in INLINE:
                     break
         elif name in SELF_CLOSING:
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if opened[name] else ():
                 if stack[i][0] == name:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i][0] in SELF_CLOSING[name]:
                     break
-        stack.append((name, tag_marks(name, attributes)))
-        if len(stack) > 400:
-            del stack[200]
+        push(name, tag_marks(name, attributes))
     flush()
     return out

@@ -106,12 +106,33 @@ def test_urls(spark):
     rows = [(1, "HTTP://A.Example.NET", '<a href="http://b.org/x">'), (2, "http://b.org/fr/1?x", "<a href=https://spam.net/>"), (3, "http://spam.net/a", "<a  href='http://z.com'>"), (4, "http://z.com#x", None), (5, None, None), (6, "none", "x"), (None, "://", ""), (7, "https://w.example.net/en/a?b", ""), (7, "https://w.example.net/en/a?b", ""), (8, "https://notexample.net/en/", ""), (9, "https://x.example.com/de/1#f", "")]
     frame = spark.createDataFrame([(*r, 0) for r in rows], "page_id long, url string, html string, host int")
     got = sorted(((r.page_id, r.host, r.path, r.rule, r.verdict) for r in judge_urls(frame, RULES).collect()), key=str)
-    want = [(1, "a.example.net", "", None, "block"), (2, "b.org", "/fr/1", "org/fr/", "allow"), (3, "spam.net", "/a", "net/", "block"), (4, "z.com", "", None, "allow"), (5, "", "", None, "allow"), (6, "", "", None, "allow"), (None, "", "", None, "allow")]
+    # page 1: what flows back to its host comes from z.com, spam.net and b.org alike, a third of it from the blocked one
+    want = [(1, "a.example.net", "", None, "allow"), (2, "b.org", "/fr/1", "org/fr/", "allow"), (3, "spam.net", "/a", "net/", "block"), (4, "z.com", "", None, "allow"), (5, "", "", None, "allow"), (6, "", "", None, "allow"), (None, "", "", None, "allow")]
     want += [(7, "w.example.net", "/en/a", "example.net/en/", "allow")] * 2 + [(8, "notexample.net", "/en/", "net/", "block"), (9, "x.example.com", "/de/1", "example.com/de/", "block")]
     assert got == sorted(want, key=str) and judge_urls(frame.limit(0), RULES).collect() == []
     assert {tuple(r) for r in host_edges(frame).collect()} == {("a.example.net", "b.org", 1), ("b.org", "spam.net", 1), ("spam.net", "z.com", 1)}
 
 
+def test_links_to_blocked_hosts_decide_for_leaves_and_hubs(spark):
+    spam = [(i, f"http://spam{i}.net/x", "") for i in range(3)]
+    leaf = (10, "http://leaf.com/", '<a href="//spam0.net/x">')
+    hub = (11, "http://hub.com/", '<a href="//spam1.net/x">' + "".join(f"<a href=https://c{k}.com/>" for k in range(30)) + '<a href="/go?to=http://spam2.net/">')
+    good = [(20, "http://good.org/fr/", '<a HREF = "HTTPS://fan.com/">'), (21, "http://fan.com/", '<a href="http://spam2.net/">')]
+    frame = spark.createDataFrame([*spam, leaf, hub, *good], "page_id long, url string, html string")
+    got = {r.page_id: r for r in judge_urls(frame, RULES).collect()}
+    assert {k: got[k].verdict for k in (0, 10, 11, 20, 21)} == {0: "block", 10: "block", 11: "allow", 20: "allow", 21: "allow"}
+    assert (got[10].trust, got[10].distrust, got[21].trust, got[21].distrust) == (0, 1, 1, 1) and got[11].distrust < 0.05
+    edges = {(r.src, r.dst) for r in host_edges(frame).collect()}
+    assert ("leaf.com", "spam0.net") in edges and ("good.org", "fan.com") in edges and ("hub.com", "spam2.net") not in edges
+
+
+def test_pages_hold_no_links_between_hosts(spark, tables):
+    """Every href of the given pages is a path on its own host, so verdicts without a rule rest on the host's own pages."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    assert host_edges(pages).count() == 0 and pages.where(F.rlike("html", F.lit(r"(?i)href\s*=\s*[\"']?([a-z+.-]+:)?//"))).count() == 0
+    assert pages.where(F.rlike("html", F.lit("(?i)href"))).count() > 200
+
+
 def test_propagation_equals_a_dense_solution(spark):
     from quarry.llm.scratch import Scratch
     from quarry.llm.url_filter import DAMPING, propagate
@@ -120,13 +141,28 @@ def test_propagation_equals_a_dense_solution(spark):
     w = r.integers(0, 3, size=(9, 9))
     np.fill_diagonal(w, 0)
     edges = spark.createDataFrame([(f"h{i}", f"h{j}", int(w[i, j])) for i in range(9) for j in range(9) if w[i, j]], "src string, dst string, weight long")
-    seeds = spark.createDataFrame([("h0", 1.0, 0.0), ("h1", 0.5, 0.25), ("h7", 0.0, 1.0)], "host string, trust double, distrust double")
-    got = {x.host: (x.trust, x.distrust) for x in propagate(edges, seeds, Scratch(spark, "t"), rounds=6).collect()}
+    start = {"h0": (1.0, 0.0), "h1": (0.5, 0.25), "h7": (0.0, 1.0)}
+    seeds = spark.createDataFrame([(f"h{i}", *start.get(f"h{i}", (0.0, 0.0))) for i in range(9)], "host string, trust double, distrust double")
+    got = {x.host: (x.trust, x.distrust) for x in propagate(edges, seeds, Scratch(spark, "t"), tolerance=1e-9).collect()}
     for way, m in enumerate((w, w.T)):
         p = m / np.maximum(1, m.sum(1, keepdims=True))
-        v = np.array([[1, 0.5, 0, 0, 0, 0, 0, 0, 0], [0, 0.25, 0, 0, 0, 0, 0, 1, 0]][way], float)
-        total = now = v
-        for _ in range(6):
-            now = DAMPING * now @ p
-            total = total + now
-        assert all(abs(got.get(f"h{i}", (0, 0))[way] - total[i]) < 1e-9 for i in range(9))
+        v = np.array([start.get(f"h{i}", (0, 0))[way] for i in range(9)], float)
+        score, all_ = (np.linalg.solve(np.eye(9) - DAMPING * p.T, x) for x in (v, np.ones(9)))
+        own = np.array([f"h{i}" not in start for i in range(9)], float)
+        assert all(abs(got[f"h{i}"][way] - score[i] / (all_[i] - own[i])) < 1e-6 for i in range(9))
+
+
+def test_a_long_system_turn_is_not_repeated(spark):
+    turns = [(1, 0, "system", "rule " * 1500)] + [(1, t, ("user", "assistant")[t % 2], f"turn {t}") for t in range(1, 200)]
+    w = windows(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    assert sum(len(r.formatted) for r in w) < 3 * sum(len(t[3]) + 20 for t in turns) and sum("rule rule" in r.formatted for r in w) == 1
+
+
+def test_deep_nesting_keeps_its_text():
+    page = "<article>" + "<div>" * 3000 + "<p>deep</p>" + "</div>" * 3000 + "<p>after</p></article><p>out</p>"
+    own = blocks(page)
+    assert [b.text for b in own] == ["deep", "after", "out"] and [any("article" in m for m in b.path) for b in own] == [True, True, False]
+    import time
+
+    start = time.time()
+    assert len(blocks("<div>x<b>" * 30_000 + "</i>" * 30_000)) == 30_000 and time.time() - start < 20
