@@ -49,7 +49,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MOST_PIECES, HOT_UNITS, HOT_LENGTH, SAMPLE_DOCS = 1 << 20, 1 << 17, 64, 8192
 #: Documents and characters of a block, documents of a partition of blocks, positions of a window of a long unit, tokens
 #: and characters that Python works on at once.
-BLOCK_DOCS, BLOCK_CHARS, DOCS_A_PART, WINDOW, TOKENS, LIST_CHARS = 4096, 6 << 20, 4096, 512, 1 << 18, 1 << 20
+BLOCK_DOCS, BLOCK_CHARS, DOCS_A_PART, WINDOW, TOKENS, LIST_CHARS = 2048, 5 << 19, 4096, 512, 1 << 18, 1 << 20
 WORD = re.compile(r" *[^ \n]+| +|\n")
 #: Places where a word ends whatever comes before it.
 BETWEEN = re.compile(r"(?<=[^ \n])(?=[ \n])|(?<=\n)")
