@@ -1,13 +1,14 @@
 """Approximate nearest neighbours by inner product: a hash-prefix forest over row blocks.
 
 Each block of rows holds, per tree, the sorted array of its rows' 64-bit hash strings (signs of random projections). A
-query descends every tree to its longest matching prefix (the place where its own string would stand) and then all trees
-ascend together: prefixes shorten step by step, which widens the range around that place, until enough candidates are
-met. Candidates are scored exactly in double precision on the original vectors; the best of all blocks are merged.
+query descends every tree to its longest matching prefix, and then all trees ascend in step: the prefix length that counts
+is the same in all of them and shortens until together they meet the wanted number of rows. How long a prefix that leaves
+differs from query to query. Candidates are scored exactly in double precision on the original vectors; the best of all
+blocks are merged.
 
-Inner products become angles by one more dimension, sqrt(M^2 - |x|^2), M being the largest norm. How far to ascend is
-measured, not guessed: a bounded sample of queries is held against brute force over all rows, and the depth doubles until
-the sample's recall reaches `recall`. Every distinct vector is indexed, every query sees every block.
+Inner products become angles by one more dimension, sqrt(M^2 - |x|^2), M being the largest norm. How many rows are wanted
+is measured, not guessed: a bounded sample of queries is held against brute force over all rows, and the number doubles
+until the sample's recall reaches `recall`. Every distinct vector is indexed, every query sees every block.
 
 Copies have one score and ties go to the smaller vec_id, so a vector is indexed once, with the k + 1 smallest of its
 vec_ids (one may be the query's own) and how often each comes, and is expanded after the search: exact for any number of
@@ -28,8 +29,10 @@ from pyspark.sql import functions as F
 from quarry.llm.scratch import Scratch
 
 TREES, BITS = 64, 64
+#: Rows that all trees of a block together meet at least, at first.
+WANTED = 32 * TREES
 #: Rows of a block, queries of a task, and queries that the depth is measured on.
-BLOCK_ROWS, BLOCK_QUERIES, MEASURED = 16384, 4096, 96
+BLOCK_ROWS, BLOCK_QUERIES, MEASURED = 16384, 16384, 96
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -73,37 +76,33 @@ class Forest:
             keys, starts = np.unique(s[order], return_index=True)
             self.trees.append((keys, np.append(starts, len(order)), order))
 
-    def candidates(self, queries: np.ndarray, depth: int) -> np.ndarray:
-        """For each query a mark on the rows that all trees have met when each has `depth` hash strings with all their rows."""
+    def candidates(self, queries: np.ndarray, wanted: int) -> np.ndarray:
+        """For each query a mark on the rows that share with it, in some tree, a prefix of the length at which all trees
+        together first meet `wanted` rows (each tree counts its own)."""
         full = np.hstack([queries, np.zeros((len(queries), 1))])
+        own = [strings(full, t) for t in range(len(self.trees))]
+        # synchronous ascent: the longest prefix length that meets enough, the same in all trees; found by bisection
+        low, high = np.zeros(len(queries), np.int64), np.full(len(queries), BITS)
+        while (low < high).any():
+            mid = (low + high + 1) // 2
+            met = sum(np.diff(self._range(t, own[t], mid), axis=0)[0] for t in range(len(own)))
+            low, high = np.where(met >= wanted, mid, low), np.where(met >= wanted, high, mid - 1)
         marks = np.zeros((len(queries), len(self.ids)), bool)
-        for t, (keys, starts, order) in enumerate(self.trees):
-            own, reach = strings(full, t), min(depth, len(keys))
-            # the longest matches stand around the query's own place; ascending takes the side with the longer prefix first
-            low = self._ascend(keys, own, np.searchsorted(keys, own), reach)
-            if len(keys) == len(order):
-                marks[np.arange(len(queries))[:, None], order[low[:, None] + np.arange(reach)]] = True
-            else:
-                for mark, a, b in zip(marks, starts[low], starts[low + reach], strict=True):
-                    mark[order[a:b]] = True
+        for t, (_, _, order) in enumerate(self.trees):
+            first, last = self._range(t, own[t], low)
+            for mark, i, j in zip(marks, first.tolist(), last.tolist(), strict=True):
+                mark[order[i:j]] = True
         return marks
 
-    @staticmethod
-    def _ascend(keys: np.ndarray, own: np.ndarray, at: np.ndarray, reach: int) -> np.ndarray:
-        """First place of the range of `reach` rows with the longest common prefixes: found by bisection on its start."""
-        n = len(keys)
-        low, high = np.maximum(at - reach, 0), np.minimum(at, n - reach)
-        while (open_ := low < high).any():
-            mid = (low + high) // 2
-            left, right = keys[np.minimum(mid, n - 1)] ^ own, keys[np.minimum(mid + reach, n - 1)] ^ own
-            go = open_ & (left > right)  # a smaller difference has the longer common prefix
-            low = np.where(go, mid + 1, low)
-            high = np.where(open_ & ~go, mid, high)
-        return np.minimum(low, n - reach)
-
-    def nearest(self, ids: np.ndarray, queries: np.ndarray, k: int, depth: int):
-        for first in range(0, len(ids), 64):
-            for i, mark in enumerate(self.candidates(queries[first : first + 64], depth), first):
+    def _range(self, t: int, own: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """(first, last) places in a tree's order of the rows that share the first `length` bits with each string."""
+        keys, starts, _ = self.trees[t]
+        free = np.where(length > 0, np.left_shift(np.uint64(1), (BITS - np.maximum(length, 1)).astype(np.uint64)) - np.uint64(1), np.uint64(2**64 - 1))
+        return np.stack([starts[np.searchsorted(keys, own & ~free)], starts[np.searchsorted(keys, own | free, side="right")]])
+
+    def nearest(self, ids: np.ndarray, queries: np.ndarray, k: int, wanted: int):
+        for first in range(0, len(ids), 256):
+            for i, mark in enumerate(self.candidates(queries[first : first + 256], wanted), first):
                 yield ids[i], *self._best(np.flatnonzero(mark), ids[i], queries[i], k)
 
     def _best(self, c: np.ndarray, own: int, query: np.ndarray, k: int):
@@ -129,7 +128,7 @@ class Forest:
             yield own, *self._best(np.arange(len(self.ids)), own, query, k)
 
 
-def _hits(k: int, depth: int, largest: float, exact: bool):
+def _hits(k: int, wanted: int, largest: float, exact: bool):
     """Answers of one (row block, query block) pair."""
 
     def run(key, rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
@@ -138,18 +137,18 @@ def _hits(k: int, depth: int, largest: float, exact: bool):
         members, x = rows["members"].tolist(), np.stack(rows["v"].to_numpy())
         qid, q = queries["vec_id"].to_numpy(np.int64), np.stack(queries["v"].to_numpy())
         forest = Forest(members, x, largest, 0 if exact else TREES)
-        out = list(forest.nearest(qid, q, k, depth) if not exact else forest.all(qid, q, k))
+        out = list(forest.nearest(qid, q, k, wanted) if not exact else forest.all(qid, q, k))
         return pd.DataFrame({"query_id": np.repeat([o[0] for o in out], [len(o[1]) for o in out]), "vec_id": np.concatenate([o[1] for o in out]), "score": np.concatenate([o[2] for o in out])})
 
     return run
 
 
-def _search(rows: DataFrame, queries: DataFrame, n_rows: int, n_queries: int, k: int, depth: int, largest: float, exact: bool = False) -> DataFrame:
+def _search(rows: DataFrame, queries: DataFrame, n_rows: int, n_queries: int, k: int, wanted: int, largest: float, exact: bool = False) -> DataFrame:
     blocks, parts = -(-n_rows // BLOCK_ROWS), max(1, -(-n_queries // BLOCK_QUERIES))
     wide = F.size("v").alias("dim")
     x = rows.select("members", "v", wide, F.pmod(F.xxhash64("v"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
     q = queries.select("vec_id", "v", wide, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts)).cast("int").alias("part"))
-    hits = x.groupBy("dim", "block", "part").cogroup(q.groupBy("dim", "block", "part")).applyInPandas(_hits(k, depth, largest, exact), "query_id long, vec_id long, score double")
+    hits = x.groupBy("dim", "block", "part").cogroup(q.groupBy("dim", "block", "part")).applyInPandas(_hits(k, wanted, largest, exact), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
@@ -164,11 +163,11 @@ def hash_prefix_forest(vectors: DataFrame, queries: DataFrame, k: int = 20, reca
     if not n_rows or not n_queries:
         return asked.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).where("false")
     sample = asked.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(MEASURED)
-    wanted = {(r.query_id, r.vec_id) for r in _search(rows, sample, n_rows, MEASURED, k, 0, largest, exact=True).collect()}
-    depth = 32
-    while depth < BLOCK_ROWS and wanted:
-        got = {(r.query_id, r.vec_id) for r in _search(rows, sample, n_rows, MEASURED, k, depth, largest).collect()}
-        if len(got & wanted) >= recall * len(wanted):
+    best = {(r.query_id, r.vec_id) for r in _search(rows, sample, n_rows, MEASURED, k, 0, largest, exact=True).collect()}  # MEASURED * k rows
+    wanted = WANTED
+    while wanted < BLOCK_ROWS * TREES and best:
+        got = {(r.query_id, r.vec_id) for r in _search(rows, sample, n_rows, MEASURED, k, wanted, largest).collect()}
+        if len(got & best) >= recall * len(best):
             break
-        depth *= 2
-    return _search(rows, asked, n_rows, n_queries, k, depth, largest)
+        wanted *= 2
+    return _search(rows, asked, n_rows, n_queries, k, wanted, largest)

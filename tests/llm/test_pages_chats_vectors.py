@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.chat import chat_digest, read_turns, windows
 from quarry.llm.extraction import extract_main_text, main_texts, trained
-from quarry.llm.forest import hash_prefix_forest
+from quarry.llm.forest import Forest, hash_prefix_forest, strings
 from quarry.llm.htmlblocks import blocks
 from quarry.llm.layouts import training_pages
 from quarry.llm.url_filter import host_edges, judge_urls
@@ -166,3 +166,22 @@ def test_deep_nesting_keeps_its_text():
 
     start = time.time()
     assert len(blocks("<div>x<b>" * 30_000 + "</i>" * 30_000)) == 30_000 and time.time() - start < 20
+
+
+def test_all_trees_ascend_to_one_prefix_length():
+    r = np.random.default_rng(5)
+    x = r.normal(size=(700, 8))
+    x[300:350] = x[300]
+    x = np.unique(x, axis=0)
+    forest = Forest([[{"vec_id": i, "n": 1}] for i in range(len(x))], x, float(np.sqrt((x * x).sum(1)).max()), trees=6)
+    q = r.normal(size=(20, 8))
+    full = np.hstack([x, np.sqrt(np.maximum(np.sqrt((x * x).sum(1)).max() ** 2 - (x * x).sum(1), 0))[:, None]])
+    for wanted in (1, 40, 500, 10**6):
+        marks = forest.candidates(q, wanted)
+        for i in range(20):
+            same = []
+            for t in range(6):
+                own, rows = int(strings(np.append(q[i], 0)[None], t)[0]), strings(full, t).tolist()
+                same.append([64 - (own ^ k).bit_length() for k in rows])
+            length = next((n for n in range(64, 0, -1) if sum(c >= n for own in same for c in own) >= wanted), 0)
+            assert (marks[i] == (np.array(same) >= length).any(0)).all()
