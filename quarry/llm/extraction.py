@@ -18,7 +18,7 @@ from quarry.llm.block_lstm import Labeller
 from quarry.llm.htmlblocks import blocks
 from quarry.llm.layouts import training_pages
 
-TRAINING_PAGES, ROUNDS = 900, 9
+TRAINING_PAGES, ROUNDS = 1200, 9
 #: Characters of html that are read before a batch of pages is labelled.
 AT_ONCE = 2 << 20
 

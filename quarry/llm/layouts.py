@@ -58,7 +58,12 @@ class Grammar:
             inner = ("&copy; " if "foot" in tag + name or "copy" in name else "") + self.prose(2)
         else:
             inner = f"<h{(k := r.choice((1, 2, 3, 3)))}>{self.sentence(1, 5)}</h{k}><div>{self.prose(3)}</div><p>{self.linked() if r.random() < 0.5 else self.sentence()}</p>"
-        return f"{self.open(tag, name)}{inner}</{tag}>"
+        return f"{self.open(tag, name)}{self.wrapped(inner) if tag != 'p' and self.r.random() < 0.15 else inner}</{tag}>"
+
+    def wrapped(self, inner: str) -> str:
+        """Inside some plain elements, as page builders nest them."""
+        k = self.r.choice([1, 2, 3, 5, 8, 13])
+        return "<div>" * k + inner + "</div>" * k
 
     def inner_p(self) -> str:
         return f"<b>{self.word()}</b>: {self.prose(2)}" if self.r.random() < 0.5 else f"<p>{self.prose(2)}</p>"
@@ -96,20 +101,27 @@ class Grammar:
         before = f"<html><head><title>{title}</title></head><body>" if r.random() < 0.9 else ""
         wrap = r.random() < 0.3
         before += "<div id=wrapper>" * wrap + "".join(self.aside_part(*r.choice(_SIDE)) for _ in range(r.choice([0, 1, 2, 2, 3, 5])))
-        tag, name = r.choice(_MAIN) if r.random() < 0.55 else ("article", "")
+        kind = r.random()
+        tag, name = ("div", self.word()) if kind < 0.1 else ("", "") if kind < 0.18 else r.choice(_MAIN) if kind < 0.6 else ("article", "")
+        untold = not tag or (kind < 0.1)
         inner = f"<h1>{title if r.random() < 0.7 else self.sentence(1, 9)}</h1>" if r.random() < 0.85 else ""
-        for _ in range(r.choice([0, 1, 1, 2, 3, 5, 8, 14])):
-            inner += self.main_part()
+        for _ in range(r.choice([2, 3, 5, 8, 14] if untold else [0, 1, 1, 2, 3, 5, 8, 14])):
+            part = f"<p>{self.prose(9)} {self.prose(9)}</p>" if untold and r.random() < 0.7 else self.main_part()
+            inner += self.wrapped(part) if r.random() < 0.08 else part
             if r.random() < 0.05:
                 inner += f"\x00{self.aside_part(*r.choice([s for s in _SIDE if s[0] != 'p' or s[1]]))}\x01"
         if r.random() < 0.12:
             inner += f"\x00{self.aside_part(*r.choice([s for s in _LOW if 'comment' in s[1] or s[0] in ('footer', 'form')]))}\x01"
         if not inner:
             inner = f"<p>{self.prose()}</p>"
+        if r.random() < 0.15:
+            inner = self.wrapped(inner)
         after = "".join(self.aside_part(*r.choice(_LOW)) for _ in range(r.choice([0, 1, 1, 2, 3])))
         if r.random() < 0.6:
             after += self.aside_part("footer", r.choice(["", "site-footer", "footer"]))
-        return before + (f"<main>{self.open(tag, name)}" if (m := tag != "main" and r.random() < 0.15) else self.open(tag, name)), inner, f"</{tag}>" + "</main>" * m + after + ("</div>" * wrap + "</body></html>" if r.random() < 0.9 else "")
+        begin, end = (self.open(tag, name), f"</{tag}>") if tag else ("", "")
+        m = not untold and tag != "main" and r.random() < 0.15
+        return before + "<main>" * m + begin, inner, end + "</main>" * m + after + ("</div>" * wrap + "</body></html>" if r.random() < 0.9 else "")
 
 
 def training_pages(n: int, seed: int = 3):

@@ -185,3 +185,18 @@ def test_all_trees_ascend_to_one_prefix_length():
                 same.append([64 - (own ^ k).bit_length() for k in rows])
             length = next((n for n in range(64, 0, -1) if sum(c >= n for own in same for c in own) >= wanted), 0)
             assert (marks[i] == (np.array(same) >= length).any(0)).all()
+
+
+def test_main_text_without_telling_names():
+    """Layouts beside the given pages: nested wrappers, untelling names, paragraphs straight in the body; held out by seed."""
+    own, labels = training_pages(300, seed=77)
+    right = [((z > 0) == (y > 0)).all() for z, y in zip(trained().margins(own), labels, strict=True)]
+    assert sum(right) >= 0.9 * len(right)
+    text = "Reoh anthe tion werden sie ouvert que la maison des hommes, und der Tag war lang. " * 8
+    menu, foot = "<nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav>", "<div class=sidebar><ul><li><a href=/x>Related</a></li></ul></div><footer>&copy; 2024 Foo</footer>"
+    for k in (1, 3, 6, 12, 25, 100):
+        got = main_texts(trained(), [f"<body>{menu}<article><h1>Head</h1>{'<div>' * k}<p>{text}</p>{'</div>' * k}</article>{foot}"])[0]
+        assert text.strip() in got and "Home" not in got and "Foo" not in got, k
+    for begin, end in (("<div id=a1>", "</div>"), ("<div class=texto>", "</div>"), ("", ""), ("<main>", "</main>")):
+        got = main_texts(trained(), [f"<body>{menu}{begin}<h1>Head</h1><p>{text}</p><p>{text}</p>{end}{foot}"])[0]
+        assert got.count(text.strip()) == 2 and "Home" not in got and "Foo" not in got, begin
