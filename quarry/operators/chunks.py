@@ -9,7 +9,7 @@ from quarry.operators.lines import first_match, source_lines
 
 _RUST = r"^(?:pub )*(?:pub\(crate\) )*(?:pub\(super\) )*(?:async )*(?:unsafe )*(?:const )*"
 _JS = r"^(?:export )*(?:default )*(?:async )*(?:abstract )*(?:declare )*"
-_JAVA = r"^(?:(?:public|private|protected|static|final|abstract|synchronized|native|default) |@[^ (]*(?:\([^)]*\))? +)*"
+_JAVA = r"^(?:(?:public|private|protected|static|final|abstract|synchronized|native|default) |@[^ ]* +)*+"
 _C = r"^(?:template *<[^>]*> *)*(?:static )*(?:inline )*(?:extern )*(?:virtual )*(?:explicit )*"
 RULES: dict[str, list[tuple[str, str]]] = {
     "rust": [
@@ -18,20 +18,20 @@ RULES: dict[str, list[tuple[str, str]]] = {
     "go": [("function", r"^func \([^)]*\)\s*([^( )]*)"), ("function", r"^func ([^( ]*)"), ("type", r"^type ([^ ]*)"), ("import", r"^(import .*)")],
     "python": [("function", r"^(?:async )*def ([^(]*)"), ("type", r"^(?:async )*class ([^(:]*)"), ("import", r"^((?:import|from) .*)")],
     "javascript": [
-        ("function", _JS + r"function ([^*(< ][^(< ]*)"), ("type", _JS + r"class ([^ {<]*)"), ("type", _JS + r"interface ([^ {<]*)"), ("type", _JS + r"type ([^ =<]*)"), ("type", _JS + r"enum ([^ {]*)"), ("function", _JS + r"(?:const|let) ([^ =:]*).*(?:=>|function)"), ("import", r"^(import .*)"),
+        ("function", _JS + r"function (?!\*(?:[(< ]|$))([^(< ]*)"), ("type", _JS + r"class ([^ {<]*)"), ("type", _JS + r"interface ([^ {<]*)"), ("type", _JS + r"type ([^ =<]*)"), ("type", _JS + r"enum ([^ {]*)"), ("function", _JS + r"(?:const|let) ([^ =:]*).*(?:=>|function)"), ("import", r"^(import .*)"),
     ],
     "java": [
-        ("type", _JAVA + r"(?:class|interface|enum) ([^ {<]*)"), ("type", _JAVA + r"record ([^ (<]*)"), ("type", r"^(?:(?:public|private|protected|static|final|abstract) )*@interface ([^ {]*)"), ("function", r"^[^(]* (\p{L}[\p{L}\p{N}_]*) *\("), ("import", r"^((?:import|package) .*)"),
+        ("type", _JAVA + r"(?:class|interface|enum) ([^ {<]*)"), ("type", _JAVA + r"record ([^ (<]*)"), ("function", _JAVA + r"[^(]* (\p{L}[\p{L}\p{N}_]*) *\("), ("import", r"^((?:import|package) .*)"),
     ],
     "ruby": [("function", r"^def (?:self\.)?([^( ;]*)"), ("type", r"^class ([^ <]*)"), ("type", r"^module ([^ ;]*)"), ("import", r"^((?:require|require_relative|include|extend) .*)")],
     "c": [
-        ("import", r"^(#include.*)"), ("type", _C + r"(?:struct|class) ([^ {:;]*)"), ("type", _C + r"enum (?:class )?([^ {:;]*)"), ("type", _C + r"union ([^ {;]*)"), ("type", _C + r"namespace ([^ {]*)"), ("type", _C + r"typedef .* (\p{L}[^ ;]*);*$"), ("function", r"^[^(]*?(\p{L}[\p{L}\p{N}_:]*) *\("),
+        ("import", r"^(#include.*)"), ("type", _C + r"(?:struct|class) ([^ {:;]*)"), ("type", _C + r"enum (?:class )?([^ {:;]*)"), ("type", _C + r"union ([^ {;]*)"), ("type", _C + r"namespace ([^ {]*)"), ("type", _C + r"typedef .* (\p{L}[^ ;]*);*$"), ("function", r"^(?:[^(]*[ *])?(\p{L}[\p{L}\p{N}_:]*)[ *]*\("),
     ],
 }
 RULES["typescript"], RULES["cpp"] = RULES["javascript"], RULES["c"]
 #: Lines that are no function, whatever the function pattern says.
 NOT_FUNCTIONS = {
-    "java": r"^(?:(?:public|private|protected|static|final|abstract|synchronized|native|default) )*(?:(?:if|for|while|switch|return|new) |super\(|this\()", "c": r"^(?:(?:if|for|while|switch|return|case) |else)|^[^(]*\b(?:sizeof|typeof|alignof|defined) *\(|^[^(]*[\p{N}][\p{L}]*\(\(",
+    "java": r"^(?:(?:public|private|protected|static|final|abstract|synchronized|native|default) )*(?:(?:if|for|while|switch|return|new) |super\(|this\()", "c": r"^(?:(?:if|for|while|switch|return|case) |else)|^(?:[^(]*[ *])?(?:sizeof|typeof|alignof|defined)[ *]*\(",
 }
 NOT_FUNCTIONS["cpp"] = NOT_FUNCTIONS["c"]
 

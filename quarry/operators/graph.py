@@ -2,23 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DAMPING, EPSILON, MOST_ROUNDS = 0.85, 1e-6, 100
-
+from quarry.operators.kept import kept
 
-def _kept(df: DataFrame) -> DataFrame:
-    """df through a table in the cluster's checkpoint folder; eager, and safe against lost executors."""
-    import tempfile
-
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/quarry"
-    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+DAMPING, EPSILON, MOST_ROUNDS = 0.85, 1e-6, 100
 
 
 def graph_nodes(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -37,18 +26,18 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, rounds: int | Non
     weight, every few rounds the lineage is cut.
     """
     every = 8
-    own = _kept(graph_nodes(edges, nodes))
+    own = kept(graph_nodes(edges, nodes), "graph")
     n = own.count()
     if n == 0:
         return own.select("path", F.lit(0.0).alias("rank"))
     links = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w"))
-    steps = _kept(links.join(edges.groupBy("src").agg(F.count(F.lit(1)).alias("out")), "src").select("src", "dst", (F.col("w") / F.col("out")).alias("share")))
+    steps = kept(links.join(edges.groupBy("src").agg(F.count(F.lit(1)).alias("out")), "src").select("src", "dst", (F.col("w") / F.col("out")).alias("share")).repartition("src"), "graph")
     rank = own.select("path", F.lit(1.0 / n).alias("rank"))
     for k in range(rounds if rounds is not None else MOST_ROUNDS):
         given = steps.join(rank, F.col("src") == F.col("path")).groupBy(F.col("dst").alias("to")).agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
         new = rank.join(given, F.col("path") == F.col("to"), "left").select("path", F.col("rank").alias("was"), (F.lit((1 - damping) / n) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
         if rounds is None or k % every == every - 1:
-            new = _kept(new)
+            new = kept(new, "graph")
         if rounds is None and new.agg(F.max(F.abs(F.col("rank") - F.col("was")))).first()[0] < EPSILON:
             return new.select("path", "rank")
         rank = new.select("path", "rank")

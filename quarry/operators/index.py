@@ -15,16 +15,18 @@ def doc_lengths(files: DataFrame) -> DataFrame:
     return files.select("path", "sha256", F.size(content_tokens(F.col("content"))).alias("doc_length"))
 
 
-def postings(files: DataFrame) -> DataFrame:
-    """path, term, tf_filename, tf_symbols, tf_body of files(path, language, content).
+def postings(files: DataFrame, terms: list[str] | None = None) -> DataFrame:
+    """path, term, tf_filename, tf_symbols, tf_body of files(path, language, content); of `terms` only, if given.
 
-    The three fields are exploded from arrays and counted with map-side partial sums: one shuffle on (path, term).
+    One pass over the files: names and contents are cut side by side and exploded together; symbols come from the lines of
+    source files only. Counted with map-side partial sums: one shuffle on (path, term).
     """
-    name = files.select("path", F.explode(path_tokens(F.col("path"))).alias("term"), F.lit(0).alias("field"))
-    body = files.select("path", F.explode(content_tokens(F.col("content"))).alias("term"), F.lit(2).alias("field"))
-    symbols = chunks(files).select("path", F.explode(identifier_tokens(F.col("name"))).alias("term"), F.lit(1).alias("field"))
+    asked = (lambda c: F.filter(c, lambda t: t.isin(terms))) if terms is not None else (lambda c: c)
+    marked = lambda c, field: F.transform(asked(c), lambda t: F.struct(F.lit(field).alias("field"), t.alias("term")))
+    own = files.select("path", F.explode(F.concat(marked(path_tokens(F.col("path")), 0), marked(F.coalesce(content_tokens(F.col("content")), F.array().cast("array<string>")), 2))).alias("x")).select("path", "x.term", "x.field")
+    symbols = chunks(files).select("path", F.explode(asked(identifier_tokens(F.col("name")))).alias("term"), F.lit(1).alias("field"))
     counted = [F.sum(F.when(F.col("field") == i, 1).otherwise(0)).cast("int").alias(c) for i, c in enumerate(("tf_filename", "tf_symbols", "tf_body"))]
-    return name.unionByName(symbols).unionByName(body).groupBy("path", "term").agg(*counted)
+    return own.unionByName(symbols).groupBy("path", "term").agg(*counted)
 
 
 def term_frequencies(post: DataFrame) -> DataFrame:

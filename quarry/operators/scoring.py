@@ -22,7 +22,7 @@ K1, B, RRF_K = 1.2, 0.75, 60
 
 def question_tokens(task: str) -> list[str]:
     """query_tokens() of a literal, on the driver: the question is a parameter, not data."""
-    x = re.sub(r"[\s/\\.\-_]", " ", task)
+    x = re.sub(r"[ \t\n\x0b\f\r/\\.\-_]", " ", task)
     x = re.sub("([^A-Z])([A-Z])", r"\1 \2", x)
     x = re.sub("([A-Z])([A-Z][a-z])", r"\1 \2", x)
     return [t for t in (p.lower() for p in x.split(" ")) if len(t.encode()) >= 2 and t not in STOP_WORDS]
@@ -58,23 +58,37 @@ def _is(token: str):
     return lambda t: t == token
 
 
-def bm25f_postings(docs: DataFrame, postings: DataFrame, stats: DataFrame, term_df: DataFrame, question: list[str]) -> DataFrame:
-    """path, bm25f of docs(path, doc_length) by postings(path, term, tf_*); repeated question tokens count again."""
+def bm25f_postings(docs: DataFrame, postings: DataFrame, stats: DataFrame, term_df: DataFrame | None, question: list[str]) -> DataFrame:
+    """path, bm25f of docs(path, doc_length) by postings(path, term, tf_*); repeated question tokens count again.
+
+    Only postings of asked terms are read; without term_df their numbers of documents are counted from the same rows.
+    """
     spark = docs.sparkSession
-    asked = spark.createDataFrame([(q, float(question.count(q))) for q in sorted(set(question))], "term string, times double")
-    hits = postings.join(F.broadcast(asked), "term").join(term_df, "term").join(docs.select("path", "doc_length"), "path").join(F.broadcast(stats.select("total", "average")))
+    terms = sorted(set(question))
+    asked = F.broadcast(spark.createDataFrame([(q, float(question.count(q))) for q in terms], "term string, times double"))  # the question's terms
+    own = postings.where(F.col("term").isin(terms))
+    df = term_df.where(F.col("term").isin(terms)) if term_df is not None else own.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    hits = own.join(asked, "term").join(F.broadcast(df), "term").join(docs.select("path", "doc_length"), "path").join(F.broadcast(stats.select("total", "average")))
     tf = reduce(lambda a, b: a + b, (w * F.col(c) for c, w in FIELDS.items()))
     one = F.col("times") * idf(F.col("total"), F.col("df")) * saturated(tf, F.col("doc_length").cast("double"), F.col("average"))
     scores = hits.groupBy("path").agg(F.sum(one).alias("bm25f"))
     return docs.select("path").join(scores, "path", "left").fillna(0.0, ["bm25f"])
 
 
-def hybrid(files: DataFrame, task: str, bm25f_weight: float = 0.6, heuristic_weight: float = 0.4) -> DataFrame:
-    """files(path, size, language, role) with bm25f, heuristic and score; weights are normalised, or default if their sum is not positive."""
+def hybrid(files: DataFrame, task: str, bm25f_weight: float = 0.6, heuristic_weight: float = 0.4, index=None) -> DataFrame:
+    """files(path, size, language, role) with bm25f, heuristic and score; weights are normalised, or default if their sum is not positive.
+
+    index: an index's tables (docs, postings, stats, term_df); then bm25f is that of names, symbols and contents, and that
+    of the path only for files outside the index.
+    """
     total = bm25f_weight + heuristic_weight
     wb, wh = (bm25f_weight / total, heuristic_weight / total) if total > 0 else (0.6, 0.4)
     question = question_tokens(task)
-    out = bm25f_paths(files, question).withColumn("heuristic", heuristic(F.col("path"), F.col("role"), F.col("size"), question))
+    out = bm25f_paths(files, question)
+    if index is not None:
+        own = bm25f_postings(index.docs, index.postings, index.stats, index.term_df, question)
+        out = out.withColumnRenamed("bm25f", "by_path").join(own, "path", "left").withColumn("bm25f", F.coalesce("bm25f", "by_path")).drop("by_path")
+    out = out.withColumn("heuristic", heuristic(F.col("path"), F.col("role"), F.col("size"), question))
     return out.withColumn("score", wb * F.col("bm25f") + wh * F.col("heuristic"))
 
 
@@ -134,3 +148,8 @@ def recency(commits: DataFrame, days: int = 90) -> DataFrame:
     counts = commits.join(F.broadcast(newest)).where(F.col("ts") >= F.col("newest") - F.expr(f"INTERVAL {days} DAYS")).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
     most = counts.agg(F.max("n").alias("most"))
     return counts.join(F.broadcast(most)).select("path", (F.log(1 + F.col("n")) / F.log(1 + F.col("most"))).alias("recency"))
+
+
+def file_recency(files: DataFrame, recency: DataFrame) -> DataFrame:
+    """files with their recency; 0 for files without a recent commit."""
+    return files.join(recency.select("path", "recency"), "path", "left").fillna(0.0, ["recency"])

@@ -167,8 +167,8 @@ sc AS (SELECT post.path, sum(times::DOUBLE * ln((total - df + 0.5::DOUBLE) / (df
 @query(O.with_(_CONTENT, "SELECT lens.path, round(coalesce(bm25f, 0), 6) AS bm25f FROM lens LEFT JOIN sc USING (path)"))
 def bm25f_content(s, d):
     files = corpus(s, d)
-    docs, post = index.doc_lengths(files), index.postings(files)
-    return scoring.bm25f_postings(docs, post, index.corpus_stats(docs), index.term_frequencies(post), CONTENT_ASKED).select("path", F.round("bm25f", 6).alias("bm25f"))
+    docs, post = index.doc_lengths(files), index.postings(files, sorted(set(CONTENT_ASKED)))
+    return scoring.bm25f_postings(docs, post, index.corpus_stats(docs), None, CONTENT_ASKED).select("path", F.round("bm25f", 6).alias("bm25f"))
 
 
 @query(O.with_(f"{_files}, toks AS (SELECT *, {O.query_tokens('path')} AS t FROM files)", "SELECT path, " + ", ".join(f"round(({v})::DOUBLE, 6) AS {k}_part" for k, v in O.heuristic_parts(ASKED).items()) + f", round({O.heuristic(ASKED)}, 6) AS heuristic FROM toks"))
@@ -194,6 +194,20 @@ def hybrid_weights(s, d):
     return _scores(scoring.hybrid(corpus(s, d), TASK, 1.0, 3.0))
 
 
+_INDEXED = f"""{O.hybrid(ASKED)}, ix AS (SELECT path, len({O.content_tokens('content')}) AS doc_length, {O.path_tokens('path')} AS names, {O.content_tokens('content')} AS body FROM files WHERE doc_id % 10 <> 0),
+xp AS (SELECT path, term, 5.0::DOUBLE * sum(a) + sum(b) AS tf FROM (SELECT path, unnest(names) AS term, 1 AS a, 0 AS b FROM ix UNION ALL SELECT path, unnest(body), 0, 1 FROM ix) WHERE term IN ({O.names(ASKED)}) GROUP BY path, term), xd AS (SELECT term, count(*) AS df FROM xp GROUP BY term), xt AS (SELECT count(*) AS total, avg(doc_length) AS average FROM ix),
+xs AS (SELECT xp.path, sum(ln((total - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * tf / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * doc_length / average))) AS own FROM xp JOIN xd USING (term) JOIN ix USING (path), xt GROUP BY xp.path),
+both_ AS (SELECT scored.path, heuristic, CASE WHEN ix.path IS NULL THEN bm25f ELSE coalesce(own, 0) END AS bm25f FROM scored LEFT JOIN ix USING (path) LEFT JOIN xs USING (path))"""
+
+
+@query(O.with_(_INDEXED, "SELECT path, round(bm25f, 6) AS bm25f, round(heuristic, 6) AS heuristic, round(0.6::DOUBLE * bm25f + 0.4::DOUBLE * heuristic, 6) AS score FROM both_"))
+def hybrid_indexed(s, d):
+    files = corpus(s, d)
+    known = files.where("doc_id % 10 <> 0")  # files outside the index are scored by their paths
+    docs = index.doc_lengths(known)
+    return _scores(scoring.hybrid(files, TASK, index=index.Index(docs=docs, postings=index.postings(known, ASKED), stats=index.corpus_stats(docs), term_df=None)))
+
+
 @query(O.with_(O.hybrid(ASKED), f"SELECT {_SCORES}, tokens FROM scored ORDER BY scored.score DESC, path LIMIT 10"))
 def explain_topk(s, d):
     return _scores(api.explain(corpus(s, d), TASK), "tokens")
@@ -255,6 +269,22 @@ def chunk_counts(s, d):
     return ch.chunks(own).join(own.select("path", "language"), "path").groupBy("language", "kind").agg(F.count(F.lit(1)).alias("chunks"))
 
 
+_CODE_CHUNKS = " UNION ALL ".join(f"SELECT path, name FROM ({O.chunk_query(x)})" for x in src.TEMPLATES)
+_CODE_POST = f"""{_sources}, names AS ({_CODE_CHUNKS}), code_post AS (SELECT path, term, sum(a)::INT AS tf_filename, sum(b)::INT AS tf_symbols, sum(c)::INT AS tf_body FROM (
+SELECT path, unnest({O.path_tokens('path')}) AS term, 1 AS a, 0 AS b, 0 AS c FROM sources UNION ALL SELECT path, unnest({O.ident_tokens('name')}), 0, 1, 0 FROM names UNION ALL SELECT path, unnest({O.content_tokens('content')}), 0, 0, 1 FROM sources) GROUP BY path, term)"""
+
+
+@query(O.with_(_CODE_POST, "SELECT * FROM code_post"))
+def postings_code(s, d):
+    return index.postings(code(s, d))
+
+
+@query(O.with_(_CODE_POST, f"SELECT (SELECT count(*) FROM sources) AS files, (SELECT round(avg(len({O.content_tokens('content')})), 6) FROM sources) AS average, (SELECT count(*) FROM names) AS chunks, (SELECT count(*) FROM code_post) AS file_terms, (SELECT count(DISTINCT term) FROM code_post) AS terms"))
+def inspect_code(s, d):
+    own = code(s, d).withColumn("sha256", F.sha2("content", 256))
+    return usage.inspect_index(index.doc_lengths(own), ch.chunks(own), index.postings(own))
+
+
 _other = "other"
 _IMPORTS = {
     "rust": f"SELECT path, 1 AS line_no, {_other} AS raw FROM s WHERE language = 'rust'",
@@ -367,6 +397,12 @@ def recency_score(s, d):
     return scoring.recency(commits(s, d), 10).select("path", F.round("recency", 6).alias("recency"))
 
 
+@query(O.with_(_RECENT, "SELECT 'u' || c_custkey AS path, round(coalesce(recency, 0), 6) AS recency FROM customer LEFT JOIN rec ON path = 'u' || c_custkey"))
+def recency_default(s, d):
+    files = table(s, d, "customer").select(F.concat(F.lit("u"), "c_custkey").alias("path"))
+    return scoring.file_recency(files, scoring.recency(commits(s, d), 10)).select("path", F.round("recency", 6).alias("recency"))
+
+
 @query(O.with_(_RECENT + ", a AS (SELECT 'u' || user_id AS path, round(sum(value), 4) AS score FROM events GROUP BY user_id), b AS (SELECT path, row_number() OVER (ORDER BY score DESC, path) AS r FROM a), m AS (SELECT path, row_number() OVER (ORDER BY recency DESC, path) AS r FROM rec)", "SELECT a.path, round(1.0::DOUBLE / (60 + b.r) + coalesce(1.0::DOUBLE / (60 + m.r), 0), 8) AS score FROM a JOIN b USING (path) LEFT JOIN m USING (path)"))
 def rrf_with_recency(s, d):
     base = table(s, d, "events").groupBy(F.concat(F.lit("u"), "user_id").alias("path")).agg(F.round(F.sum("value"), 4).alias("score"))

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 import subprocess
+from functools import cache, reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.classify import estimated_tokens, language, role
+from quarry.operators.kept import kept
 
 # Folders that are always skipped.
 SKIPPED = [".git", "node_modules", "__pycache__", ".venv", "venv", ".env", ".svn", ".hg", ".quarry"]
+IGNORE_FILES = (".gitignore", ".ignore")
 LOG_SCHEMA = "timestamp string, event string, path string, files_suggested int, tokens_suggested bigint"
 # The virtual corpus: folders and extensions dealt out by doc_id.
 FOLDERS = ["src/auth", "tests", "docs", "vendor/lib", "crates/core", "a/b/c/d/e", "", "src/net", "lib", "app/models", "scripts/x/y"]
@@ -58,27 +64,111 @@ def described(files: DataFrame) -> DataFrame:
     return files.withColumn("language", language(F.col("path"))).withColumn("role", role(F.col("path"))).withColumn("tokens", estimated_tokens(F.col("size")))
 
 
-def scan(spark: SparkSession, root: str, rules: list[str] | None = None) -> DataFrame:
-    """path, size, sha256, content (null if not UTF-8), language, role, tokens of the files below root, any Hadoop path.
+def _file_system(root: str):
+    """(pyarrow file system, its path of root): local folders, hdfs, s3, gs and what else pyarrow opens."""
+    from pyarrow import fs
 
-    rules: ignore rules; by default those of root's ignore files, read through Spark too.
+    if "://" in root:
+        return fs.FileSystem.from_uri(root.rstrip("/"))
+    return fs.LocalFileSystem(), root.removeprefix("file:").rstrip("/")
+
+
+@cache
+def _compiled(base: str, rule: str) -> tuple[bool, re.Pattern, str] | None:
+    found = ignore_pattern(rule)
+    return (found[0], re.compile(found[1] + r"\Z"), base) if found else None
+
+
+def is_ignored(path: str, folder: bool, rules: list[tuple[str, str]]) -> bool:
+    """Whether the last rule (folder of its file, text) that fits this very path says so; folders above were asked before."""
+    out = False
+    for found in (_compiled(*r) for r in rules):
+        if found and path.startswith(found[2]) and found[1].search(path[len(found[2]) :] + "/" * folder):
+            out = not found[0]
+    return out
+
+
+def _listed(root: str, own_rules: bool):
+    """The entries of each folder of a batch; ignored and skipped folders are not entered, ignored files not listed."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        system, base = _file_system(root)
+        for batch in batches:
+            out: list[tuple] = []
+            for folder, told in zip(batch.column("path").to_pylist(), batch.column("rules").to_pylist(), strict=True):
+                entries = sorted(system.get_file_info(fs.FileSelector(f"{base}/{folder}".rstrip("/"))), key=lambda x: x.base_name)
+                rules = [tuple(r) for r in json.loads(told)]
+                for x in entries if own_rules else ():
+                    if x.base_name in IGNORE_FILES and x.type == fs.FileType.File:
+                        with system.open_input_stream(x.path) as f:
+                            rules += [(folder, line) for line in f.read().decode("utf-8", "replace").splitlines()]
+                for x in entries:
+                    path, deeper = folder + x.base_name, x.type == fs.FileType.Directory
+                    if (deeper and x.base_name in SKIPPED) or is_ignored(path, deeper, rules):
+                        continue
+                    out.append((path + "/" if deeper else path, deeper, None if deeper else x.size, json.dumps(rules) if deeper else None))
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.bool_(), pa.int64(), pa.string()), strict=True)], names=["path", "folder", "size", "rules"])
+
+    return run
+
+
+def _contents(root: str):
+    """size, sha256 and text (null if not UTF-8) of each file, a few at a time; a file that has gone meanwhile is left out."""
+
+    def run(batches):
+        system, base = _file_system(root)
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                try:
+                    with system.open_input_stream(f"{base}/{path}") as f:
+                        raw = f.read()
+                except FileNotFoundError:
+                    continue
+                try:
+                    text = raw.decode("utf-8")
+                except UnicodeDecodeError:
+                    text = None
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([len(raw)]), pa.array([hashlib.sha256(raw).hexdigest()]), pa.array([text], pa.string())], names=["path", "size", "sha256", "content"])
+
+    return run
+
+
+def listing(spark: SparkSession, root: str, rules: list[str] | None = None, more_rules: list[str] | None = None) -> DataFrame:
+    """path, size of the files below root, hidden ones too: a round for each folder level, folders dealt to tasks.
+
+    rules: the only ignore rules; by default each folder's ignore files hold below it, deeper ones last, after more_rules
+    (a user's own) and those of .git/info/exclude.
     """
+    first = [("", r) for r in (rules if rules is not None else more_rules or [])]
     if rules is None:
-        rules = []
-        for name in (".gitignore", ".ignore"):
-            try:
-                rules += [r.value for r in spark.read.text(f"{root}/{name}").collect()]  # one small file
-            except Exception:  # there is none
-                continue
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(root)
-    base = F.regexp_replace(F.lit(root), r"^[a-z]+:/*|/+$", "")
-    path = F.regexp_replace(F.expr("substr(path, instr(path, root) + length(root) + 1)"), r"\\\\", "/")
-    out = raw.withColumn("root", F.regexp_replace(base, "^/+", "")).withColumn("path", path)
-    skipped = F.arrays_overlap(F.slice(F.concat(F.array(F.lit("")), F.split("path", "/")), 1, F.size(F.split("path", "/"))), F.array(*map(F.lit, SKIPPED)))
-    text = F.decode("content", F.lit("UTF-8"))
-    valid = F.is_valid_utf8(F.col("content").cast("string"))
-    out = out.where(~skipped & ~ignored(F.col("path"), rules)).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), F.when(valid, text).alias("content"))
-    return described(out)
+        system, base = _file_system(root)
+        try:
+            with system.open_input_stream(f"{base}/.git/info/exclude") as f:
+                first += [("", line) for line in f.read().decode("utf-8", "replace").splitlines()]
+        except (FileNotFoundError, NotADirectoryError):
+            pass  # no repository
+    front, files = spark.createDataFrame([("", json.dumps(first))], "path string, rules string"), []
+    while True:
+        level = kept(front.mapInArrow(_listed(root, rules is None), "path string, folder boolean, size long, rules string"), "scan")
+        files.append(level.where("not folder").select("path", "size"))
+        front = level.where("folder").select("path", "rules")
+        n = front.count()
+        if not n:
+            return reduce(DataFrame.union, files)
+        front = front.repartition(max(1, min(10_000, n // 64)))
+
+
+def scan(spark: SparkSession, root: str, rules: list[str] | None = None, more_rules: list[str] | None = None) -> DataFrame:
+    """path, size, sha256, content (null if not UTF-8), language, role, tokens of the files of listing().
+
+    Files are read in partitions of about 64 MB by their listed sizes.
+    """
+    found = listing(spark, root, rules, more_rules)
+    parts = 1 + (found.agg(F.sum("size")).first()[0] or 0) // (64 << 20)
+    return described(found.select("path").repartition(parts).mapInArrow(_contents(root), "path string, size long, sha256 string, content string"))
 
 
 def fingerprint(files: DataFrame) -> DataFrame:
@@ -134,8 +224,20 @@ def usage_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(x.alias("x")).where("x.event is not null").select("x.*")
 
 
-def commit_log(spark: SparkSession, root: str, days: int = 90) -> DataFrame:
-    """path of every change in the last days, from git; empty if git fails."""
-    done = subprocess.run(["git", "-C", root, "log", "--format=", "--name-only", f"--since={days}.days"], capture_output=True, text=True, check=False)
-    rows = [(line,) for line in done.stdout.splitlines() if line] if done.returncode == 0 else []
-    return spark.createDataFrame(rows, "path string")
+def commit_log(spark: SparkSession, root: str, days: int | None = 90) -> DataFrame:
+    """path, ts of every change in the last days (all, if None), from git; empty if git fails. recency() reads it.
+
+    git's output is written to the driver's memory line by line: a history, not the corpus.
+    """
+    since = [f"--since={days}.days"] if days is not None else []
+    try:
+        done = subprocess.run(["git", "-C", root, "log", "--format=%x00%ct", "--name-only", *since], capture_output=True, text=True, check=False)
+    except FileNotFoundError:  # no git here
+        return spark.createDataFrame([], "path string, ts timestamp")
+    rows, ts = [], 0
+    for line in done.stdout.splitlines() if done.returncode == 0 else ():
+        if line.startswith("\0"):
+            ts = int(line[1:])
+        elif line.strip():
+            rows.append((line.strip(), ts))
+    return spark.createDataFrame(rows, "path string, ts long").select("path", F.timestamp_seconds("ts").alias("ts"))

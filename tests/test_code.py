@@ -21,10 +21,12 @@ def test_chunks(spark):
     assert found(spark, "rust", "pub(crate) async fn go<T>(x: T) {", "// fn no()", "impl Foo {", "impl<T> Bar<T> {", "pub use a::b;", "pub enum E{") == [("function", "go", 1), ("impl", "Foo", 3), ("import", "use a::b;", 5), ("type", "E", 6)]
     assert found(spark, "go", "func (s *Server) Run(ctx) error {", "func main() {", "type T struct {", "import (") == [("function", "Run", 1), ("function", "main", 2), ("type", "T", 3), ("import", "import (", 4)]
     assert found(spark, "python", "async def f(x):", "class A(B):", "# def no():", "from a import b") == [("function", "f", 1), ("type", "A", 2), ("import", "from a import b", 4)]
-    assert found(spark, "typescript", "export default async function go(x) {", "const f = (x) => x", "let n = 3", "export interface I {", "function *gen()") == [("function", "go", 1), ("function", "f", 2), ("type", "I", 4)]
+    assert found(spark, "typescript", "export default async function go(x) {", "const f = (x) => x", "let n = 3", "export interface I {", "function *gen()", "function * no()", "function* no2()") == [("function", "go", 1), ("function", "f", 2), ("type", "I", 4), ("function", "*gen", 5)]
     assert found(spark, "java", "public static void main(String[] a) {", "@Override public int size() {", "if (x) {", "return f(x);", "public final class A {", "import a.B;") == [("function", "main", 1), ("function", "size", 2), ("type", "A", 5), ("import", "import a.B;", 6)]
     assert found(spark, "ruby", "def self.make(x)", "class A < B", "module M", "require 'x'") == [("function", "make", 1), ("type", "A", 2), ("type", "M", 3), ("import", "require 'x'", 4)]
     assert found(spark, "cpp", "#include <a.h>", "static int *get(int x) {", "class A : public B {", "return f(x);", "namespace n {") == [("import", "#include <a.h>", 1), ("function", "get", 2), ("type", "A", 3), ("type", "n", 5)]
+    assert found(spark, "java", "public Foo(int x) {", "Foo() {", "@Inject public Foo(Bar b) {", "protected abstract Map<K, V> all ();", "public @interface Mark {", "foo.bar(x);", "int 9x(") == [("function", "all", 4)]  # an annotation type begins like an annotation, which is left out
+    assert found(spark, "c", "foo->bar(x);", "o.call(z);", "_helper(1);", "void _own(int);", "char **names(void);", "x = sizeof(int);", "std::string A::b(int c)", "static inline int f2((x))", "main ()", "else if (x) {") == [("function", "names", 5), ("function", "A::b", 7), ("function", "f2", 8), ("function", "main", 9)]
     assert found(spark, "haskell", "main = x") == []
 
 

@@ -71,7 +71,44 @@ def test_scan_reads_a_folder(spark, tmp_path):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text(text)
     out = {r.path: (r.size, r.language, r.role) for r in scan(spark, str(tmp_path)).collect()}
-    assert out == {"src/main.rs": (12, "rust", "impl"), "tests/a_test.rs": (1, "rust", "test"), ".gitignore": (16, "other", "config")}
+    assert out == {"src/main.rs": (12, "rust", "impl"), "tests/a_test.rs": (1, "rust", "test"), ".gitignore": (14, "other", "config")}
+
+
+def test_scan_keeps_hidden_names_and_nested_rules(spark, tmp_path):
+    from quarry.sources.files import listing, scan
+
+    files = {".gitignore": "target/\n*.tmp\n!keep.tmp\n/top.txt\n", ".github/w.yml": "a", "pkg/__init__.py": "b", "src/__tests__/a.js": "c", "_x/y.go": "d", "keep.tmp": "e", "top.txt": "no", "sub/top.txt": "f", "sub/.ignore": "*.log\n!b.tmp\nown/\n", "sub/a.log": "no", "sub/b.tmp": "g", "sub/own/z": "no", "sub/deep/c.log": "no", "a.log": "h", "target/.gitignore": "!x.rs", "target/x.rs": "no", ".git/info/exclude": "secret*\n", "secret.txt": "no", "empty": "", "deep/" * 9 + "f.rs": "i"}
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    (tmp_path / "odd.bin").write_bytes(b"\xff\xfe")
+    want = {k: v for k, v in files.items() if v != "no" and not k.startswith(("target/", ".git/"))} | {"odd.bin": None}
+    got = {r.path: r for r in scan(spark, str(tmp_path)).collect()}
+    assert {k: r.content for k, r in got.items()} == want and got["odd.bin"].size == 2 and len(got["empty"].sha256) == 64
+    assert "a.log" not in {r.path for r in listing(spark, f"file://{tmp_path}", more_rules=["*.log"]).collect()}
+    assert {"top.txt", "secret.txt", "target/x.rs"} <= {r.path for r in listing(spark, str(tmp_path), rules=[]).collect()}
+    (tmp_path / "none").mkdir()
+    assert scan(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_commits_feed_recency(spark, tmp_path):
+    import subprocess
+
+    from quarry.operators.scoring import file_recency, recency
+    from quarry.sources.files import commit_log
+
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)
+    assert commit_log(spark, str(tmp_path)).collect() == []
+    git("init")
+    for k, names in enumerate((["a.rs", "b c.rs"], ["a.rs"], ["a.rs"])):
+        for n in names:
+            (tmp_path / n).write_text(str(k))
+        git("add", ".")
+        git("commit", "-m", "x")
+    log = commit_log(spark, str(tmp_path))
+    files = spark.createDataFrame([("a.rs",), ("b c.rs",), ("new.rs",)], "path string")
+    got = {r.path: round(r.recency, 6) for r in file_recency(files, recency(log)).collect()}
+    assert log.count() == 4 and got == {"a.rs": 1.0, "b c.rs": 0.5, "new.rs": 0.0}
 
 
 def test_fusion_by_candidates_equals_uncut_fusion(spark):
