@@ -46,10 +46,10 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, Struc
 from quarry.llm.arrowtext import tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-MOST_PIECES, HOT_UNITS, HOT_LENGTH, SAMPLE_DOCS = 1 << 20, 1 << 17, 64, 8192
+MOST_PIECES, HOT_UNITS, HOT_LENGTH, SAMPLE_DOCS = 1 << 20, 1 << 18, 64, 12288
 #: Documents and characters of a block, documents of a partition of blocks, positions of a window of a long unit, tokens
 #: and characters that Python works on at once.
-BLOCK_DOCS, BLOCK_CHARS, DOCS_A_PART, WINDOW, TOKENS, LIST_CHARS = 2048, 5 << 19, 4096, 512, 1 << 18, 1 << 20
+BLOCK_DOCS, BLOCK_CHARS, DOCS_A_PART, WINDOW, TOKENS, LIST_CHARS = 4096, 4 << 20, 4096, 512, 1 << 18, 1 << 20
 WORD = re.compile(r" *[^ \n]+| +|\n")
 #: Places where a word ends whatever comes before it.
 BETWEEN = re.compile(r"(?<=[^ \n])(?=[ \n])|(?<=\n)")
@@ -427,9 +427,10 @@ def _assembled(shared, byte_ids: list[int]):
                 starts, lengths, pool = hot_ends[known - 1], np.where(known > 0, hot_ends[known] - hot_ends[known - 1], 0), hot_ids
                 cold = np.flatnonzero(known == 0)
                 if len(cold):
-                    pos = told.values.field("pos").to_numpy()
-                    codes, stops = _listed(told.values.field("codes"))
-                    more, stops = _flat_ids(codes.to_numpy(), np.concatenate([[0], stops]), byte_ids)
+                    listed, stops = _listed(told.values)  # lists of a unit's place and its codes
+                    listed, begin = listed.to_numpy(), np.concatenate([[0], stops])[:-1]
+                    pos = listed[begin]
+                    more, stops = _flat_ids(np.delete(listed, begin), np.concatenate([[0], stops - np.arange(1, len(stops) + 1)]), byte_ids)
                     if len(cold) != len(set(pos.tolist())) or n_entries != n_units.as_py():
                         raise RuntimeError("a block has not got the ids of all its units")
                     starts[cold[pos]], lengths[cold[pos]] = stops[:-1] + len(pool), np.diff(stops)
@@ -478,7 +479,7 @@ def encode(docs: DataFrame, model: str = MODEL, place: str | None = None) -> Dat
     windows = listed.where(_WINDOW).select(F.concat(F.lit("\n"), part[1]).alias("unit"), part[2].cast("int").alias("w"), part[3].cast("int").alias("skip"), part[4].alias("text"))
     windows = windows.repartition(parts, "unit", "w").dropDuplicates(["unit", "w"])
     told = told.unionByName(listed.where(_LONG).join(long_lattice(windows, vocabulary), "unit").select("block", "pos", "codes"))
-    told = told.groupBy("block").agg(F.collect_list(F.struct("pos", "codes")).alias("told"))
+    told = told.groupBy("block").agg(F.collect_list(F.concat(F.array("pos"), F.col("codes"))).alias("told"))
     whole = blocks.join(told, "block", "left").select("block", "docs", F.size("units").alias("n_units"), "told")
     if place is not None:
         whole = whole.repartitionByRange("block").sortWithinPartitions("block")
