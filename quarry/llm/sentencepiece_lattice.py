@@ -41,7 +41,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from quarry.llm.arrowtext import tidy
 
@@ -68,7 +68,7 @@ class Vocabulary:
         self.useful = [x for x in pieces if len(x[0]) == 1 or self._parts(x[0]) <= x[2] + 1e-9 * abs(x[2])]
         self.reach = max(len(p) for p, _, _ in self.useful)
         self.joints = Joints([p for p, _, _ in self.useful])
-        if len(pieces) > MOST_PIECES or self.reach > 63 or any(re.search(r"[^ ] |.\n|\n.", p, re.S) for p, _, _ in pieces):
+        if len(pieces) > MOST_PIECES or self.reach > 63 or any("\0" in p for p, _, _ in pieces) or any(re.search(r"[^ ] |.\n|\n.", p, re.S) for p, _, _ in pieces):
             raise ValueError("a vocabulary whose pieces cross words, or too large a one")
         if len({xxhash.xxh64_intdigest(p.encode(), 42) for p, _, _ in pieces}) < len(pieces):
             raise ValueError("pieces that are the same, or whose hashes are")
@@ -148,6 +148,8 @@ class Joints:
             held[1:-2] |= three
             held[2:-1] |= three
         held[ends] = False
+        none = np.flatnonzero(c == 0)  # a unit of its own: it parts units in lists
+        held[none] = held[none + 1] = False
         starts = np.flatnonzero(~held[:-1])
         edges = [*starts.tolist(), len(flat)]
         return [flat[i:j] for i, j in itertools.pairwise(edges)], np.diff(np.searchsorted(starts, ends), prepend=0)
@@ -307,6 +309,18 @@ def _planes(*arrays: np.ndarray) -> list[tuple[bytes, int]]:
     return [(np.ascontiguousarray(a, "<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), len(a)) for a in arrays]
 
 
+def _escaped(a: np.ndarray) -> list[tuple[bytes, int]]:
+    """Whole numbers as bytes, those below 255 in one; the others are named by 255 and stand in planes."""
+    large = a >= 255
+    return [(np.where(large, 255, a).astype(np.uint8).tobytes(), len(a)), *_planes(a[large] - 255)]
+
+
+def _unescaped(parts: list[tuple[bytes, int]]) -> np.ndarray:
+    out = np.frombuffer(parts[0][0], np.uint8).astype(np.int64)
+    out[out == 255] = _unplaned(parts[1:])[0] + 255
+    return out
+
+
 def _unplaned(parts: list[tuple[bytes, int]]) -> list[np.ndarray]:
     return [np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, n).T).view("<i4").reshape(n).astype(np.int64) for raw, n in parts]
 
@@ -339,7 +353,8 @@ def _dictionary(shared, key: str) -> dict[str, int]:
     if key not in _dictionaries:
         _dictionaries.clear()
         names = shared.value[0]
-        _dictionaries[key] = {name: i for i, name in enumerate(names.split("\x00") if names else [])}
+        own = _dictionaries[key] = {name: i for i, name in enumerate(names.split("\x00") if names else [])}
+        own["\0"] = len(own)  # that character parts units in lists, and is a unit of its own, the last of the dictionary
     return _dictionaries[key]
 
 
@@ -365,7 +380,7 @@ class _Block:
         self.doc_ids.append(doc_id)
         self.size += len(text or "") + 32
 
-    def row(self, hot: dict[str, int], joints: Joints, reach: int, press) -> tuple[bytes, list[str]]:
+    def row(self, hot: dict[str, int], joints: Joints, reach: int, press) -> tuple[bytes, str]:
         """(the documents, packed; units that the dictionary lacks, long ones by name, and then the windows of these)."""
         tokens, names = np.concatenate(self.tokens), self.words.names
         order = np.argsort(-np.bincount(tokens, minlength=len(names)), kind="stable")  # frequent words get small numbers
@@ -377,9 +392,10 @@ class _Block:
         known = np.array([hot.get(u, -1) for u in seen], np.int64)
         cold = [u for u, i in zip(seen, known.tolist(), strict=True) if i < 0]
         entries = [u if len(u) <= WINDOW else _named(u) for u in cold] + [w for u in cold if len(u) > WINDOW for w in _windows(u, reach)]
-        ahead = np.concatenate([[0], np.maximum.accumulate(flat)[:-1] + 1])[: len(flat)] - flat  # 0 where a unit comes first
-        parts = (self.places, self.doc_ids, len(entries), _planes(np.array([len(t) for t in self.tokens]), rank[tokens], sizes, ahead, known + 1))
-        return press.compress(pickle.dumps(parts, 5)), entries
+        first = flat > np.concatenate([[-1], np.maximum.accumulate(flat)[:-1]])[: len(flat)]
+        listed = "\0".join(entries)
+        parts = (self.places, self.doc_ids, len(listed), _planes(np.array([len(t) for t in self.tokens]), sizes, np.where(first, 0, flat + 1), known + 1), _escaped(rank[tokens]))
+        return press.compress(pickle.dumps(parts, 5)), listed
 
 
 def _blocks(shared, key: str, joints: Joints, reach: int, block_docs: int, ordered: bool):
@@ -394,7 +410,7 @@ def _blocks(shared, key: str, joints: Joints, reach: int, block_docs: int, order
 
         def done():
             docs, units = own.row(hot, joints, reach, press)
-            return pa.RecordBatch.from_arrays([pa.array([first if ordered else made], pa.int64()), pa.array([docs], pa.binary()), pa.array([units], pa.list_(pa.string()))], names=["block", "docs", "units"])
+            return pa.RecordBatch.from_arrays([pa.array([first if ordered else made], pa.int64()), pa.array([docs], pa.binary()), pa.array([units], pa.string())], names=["block", "docs", "units"])
 
         for batch in batches:
             for place, doc_id, text in zip(*(batch.column(c) for c in ("place", "doc_id", "text")), strict=True):
@@ -419,11 +435,10 @@ def _assembled(shared, byte_ids: list[int]):
         unpress, (_, hot_ends, hot_ids) = zstandard.ZstdDecompressor(), shared.value
         hot_ends = np.concatenate([[0], hot_ends])
         for batch in batches:
-            for docs, n_units, told in zip(batch.column("docs"), batch.column("n_units"), batch.column("told"), strict=True):
-                places, doc_ids, n_entries, parts = pickle.loads(unpress.decompress(docs.as_py()))
-                n_tokens, tokens, sizes, ahead, known = _unplaned(parts)
-                first = ahead == 0
-                flat = np.cumsum(first) - first - ahead
+            for docs, listed_size, told in zip(batch.column("docs"), batch.column("listed"), batch.column("told"), strict=True):
+                places, doc_ids, size, parts, tokens = pickle.loads(unpress.decompress(docs.as_py()))
+                n_tokens, sizes, again, known = _unplaned(parts)
+                tokens, flat = _unescaped(tokens), np.where(again == 0, np.cumsum(again == 0) - 1, again - 1)
                 starts, lengths, pool = hot_ends[known - 1], np.where(known > 0, hot_ends[known] - hot_ends[known - 1], 0), hot_ids
                 cold = np.flatnonzero(known == 0)
                 if len(cold):
@@ -431,7 +446,7 @@ def _assembled(shared, byte_ids: list[int]):
                     listed, begin = listed.to_numpy(), np.concatenate([[0], stops])[:-1]
                     pos = listed[begin]
                     more, stops = _flat_ids(np.delete(listed, begin), np.concatenate([[0], stops - np.arange(1, len(stops) + 1)]), byte_ids)
-                    if len(cold) != len(set(pos.tolist())) or n_entries != n_units.as_py():
+                    if len(cold) != len(set(pos.tolist())) or size != listed_size.as_py():
                         raise RuntimeError("a block has not got the ids of all its units")
                     starts[cold[pos]], lengths[cold[pos]] = stops[:-1] + len(pool), np.diff(stops)
                     pool = np.concatenate([pool, more])
@@ -462,16 +477,17 @@ def encode(docs: DataFrame, model: str = MODEL, place: str | None = None) -> Dat
     known = lattice(frequent, vocabulary).toArrow().combine_chunks()
     codes, ends = _listed(known.column("codes").chunk(0)) if known.num_rows else (pa.array([], pa.int32()), np.zeros(0, np.int64))
     ids, ends = _flat_ids(codes.to_numpy(), np.concatenate([[0], ends]), vocabulary.byte_ids)
+    ids, ends = np.append(ids, np.int32(vocabulary.byte_ids[0])), np.append(ends, ends[-1] + 1)  # that of the character 0
     shared = spark.sparkContext.broadcast(("\x00".join(known.column("unit").to_pylist()), ends[1:], ids))
     key = f"{shared._jbroadcast.id()}-{spark.sparkContext.applicationId}"
     del known, codes, ids
 
-    schema = StructType([StructField("block", LongType(), False), StructField("docs", BinaryType()), StructField("units", ArrayType(StringType()))])
+    schema = StructType([StructField("block", LongType(), False), StructField("docs", BinaryType()), StructField("units", StringType())])
     blocks = docs.mapInArrow(tidy(_blocks(shared, key, vocabulary.joints, vocabulary.reach, BLOCK_DOCS, place is not None)), schema).repartition("block")
     parts = max(8, n // DOCS_A_PART * 4)
     # The conditions on docs, least and pos hold always. They make all uses of blocks, and both of cold, read the same
     # columns, so that Spark makes each of the two shuffles once.
-    listed = blocks.select("block", F.posexplode(F.when(F.col("docs").isNotNull(), F.col("units"))).alias("pos", "unit"))
+    listed = blocks.select("block", F.posexplode(F.split(F.when(F.col("docs").isNotNull() & (F.col("units") != ""), F.col("units")), "\\x00")).alias("pos", "unit"))
     cold = listed.where(_SHORT).repartition(parts, "unit")
     made = lattice(cold.groupBy("unit").agg(F.min("block").alias("least"), F.min("pos").alias("pos")).where("least is not null and pos >= 0").select("unit"), vocabulary)
     told = cold.join(made, "unit").select("block", "pos", "codes")
@@ -480,10 +496,10 @@ def encode(docs: DataFrame, model: str = MODEL, place: str | None = None) -> Dat
     windows = windows.repartition(parts, "unit", "w").dropDuplicates(["unit", "w"])
     told = told.unionByName(listed.where(_LONG).join(long_lattice(windows, vocabulary), "unit").select("block", "pos", "codes"))
     told = told.groupBy("block").agg(F.collect_list(F.concat(F.array("pos"), F.col("codes"))).alias("told"))
-    whole = blocks.join(told, "block", "left").select("block", "docs", F.size("units").alias("n_units"), "told")
+    whole = blocks.join(told, "block", "left").select("block", "docs", F.length("units").alias("listed"), "told")
     if place is not None:
         whole = whole.repartitionByRange("block").sortWithinPartitions("block")
-    out = whole.select("docs", "n_units", "told").mapInArrow(tidy(_assembled(shared, vocabulary.byte_ids)), "place long, doc_id long, ids array<int>")
+    out = whole.select("docs", "listed", "told").mapInArrow(tidy(_assembled(shared, vocabulary.byte_ids)), "place long, doc_id long, ids array<int>")
     return out.select(*(["place"] if place else []), "doc_id", "ids")
 
 

@@ -130,7 +130,7 @@ def test_long_units_go_in_windows(spark, monkeypatch):
     import random
 
     r, vocabulary = random.Random(4), sp.Vocabulary.load()
-    texts = ["=" * n for n in (511, 512, 513, 700, 5000)] + ["".join(r.choice("abethn=-") for _ in range(n)) for n in (600, 3000)] + ["日" * 900, "x" * 1500 + " y" + "=" * 1200]
+    texts = ["=" * n for n in (511, 512, 513, 700, 5000)] + ["".join(r.choice("abethn=-") for _ in range(n)) for n in (600, 3000)] + ["a\0b\0\0 c\0 \x01\x00" + "\0" * 600, "\0", "\n", "日" * 900, "x" * 1500 + " y" + "=" * 1200]
     monkeypatch.setattr(sp, "WINDOW", 64)
     docs = spark.createDataFrame(list(enumerate(texts)) + [(99, texts[4]), (4, texts[4])], "doc_id long, text string")
     for r in sp.decode(sp.encode(docs)).collect():
