@@ -91,35 +91,6 @@ def fit(docs: DataFrame, families: dict[str, list[str]] = FAMILIES, fit_rows: in
     return fitted(rows, lambda own: Model(np.stack([np.frombuffer(x, np.float16) for _, x in own]).astype(np.float32), np.array([k for k, _ in own]), families) if own else None)
 
 
-def predict(self, x: np.ndarray) -> tuple[str, float]:
-        z = self.top[:, :-1] @ x + self.top[:, -1]
-        p = np.exp(z - z.max())
-        p /= p.sum()
-        f = int(p.argmax())
-        langs, pairs = self.members[f], self.pairs[f]
-        if len(langs) == 1:
-            return langs[0], float(p[f])
-        margins = self.svm[f][:, :-1] @ x + self.svm[f][:, -1]
-        votes, total, sure = np.zeros(len(langs)), np.zeros(len(langs)), np.zeros(len(langs))
-        for (a, b), m in zip(pairs, margins, strict=True):
-            votes[a if m >= 0 else b] += 1
-            for who, side in ((a, m), (b, -m)):
-                total[who] += side
-                sure[who] += 1 / (1 + np.exp(-4 * np.clip(side, -20, 20)))
-        best = max(range(len(langs)), key=lambda i: (votes[i], total[i], -i))
-        return langs[best], float(p[f] * sure[best] / (len(langs) - 1))
-
-
-def fit(docs: DataFrame, families: dict[str, list[str]] = FAMILIES, fit_rows: int = FIT_ROWS, dims: int = DIMS) -> Model | None:
-    """Learns from docs(doc_id, text, lang) outside the held-out fold; None without a usable row."""
-    pool = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("label")).where("label is not null and text is not null").where(~held_out())
-    rows = bounded_sample(pool, fit_rows, F.col("doc_id")).select("text", "label").mapInArrow(_vectors(dims), "label string, x binary").collect()
-    if not rows:
-        return None
-    rows.sort(key=lambda r: (r.label, bytes(r.x)))
-    return Model(np.stack([np.frombuffer(bytes(r.x), np.float16) for r in rows]).astype(np.float32), np.array([r.label for r in rows]), families)
-
-
 def predict(docs: DataFrame, model: Model | None, dims: int = DIMS) -> DataFrame:
     """docs with lang_pred and score added; text is the only column that a prediction reads."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -134,31 +134,6 @@ def _learn(rows: list[tuple]) -> CoTrained | None:
     return CoTrained(a, b, np.array([r[0] for r in told], int), np.array([r[1] for r in told], bool), ua, ub)
 
 
-def score(self, a: np.ndarray, b: np.ndarray) -> tuple[float, float, float]:
-        """Chance of good quality by content, by metadata and by both."""
-        z = np.array([_chance(self.w[0], a), _chance(self.w[1], b)], float)
-        both = _chance(self.join, z / self.scale)
-        return tuple(float(1 / (1 + np.exp(-np.clip(v, -60, 60)))) for v in (*z, both))
-
-
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, dims: int = DIMS) -> CoTrained | None:
-    """Learns from docs(doc_id, text, lang, source) and labels(doc_id, quality); None if there is nothing to tell apart."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("string").alias(c) for c in ("text", "source", "lang")))
-    marked = bounded_sample(labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where("label in (0, 1) and doc_id is not null"), fit_rows, F.col("doc_id"))
-    known = docs.join(F.broadcast(marked), "doc_id").limit(4 * fit_rows)  # the broadcast side has 2 * fit_rows rows at most
-    free = bounded_sample(docs.where("text is not null"), fit_rows, F.col("doc_id")).withColumn("label", F.lit(None).cast("int"))
-    rows = known.select("text", "source", "lang", "label", held_out().alias("fold")).unionByName(free.select("text", "source", "lang", "label", F.lit(False).alias("fold"))).mapInArrow(_views(dims), "label int, fold boolean, a binary, b binary").collect()
-    rows.sort(key=lambda r: (-1 if r.label is None else r.label, bytes(r.a), bytes(r.b)))
-    a = np.stack([np.frombuffer(bytes(r.a), np.float16) for r in rows]).astype(np.float32) if rows else np.zeros((0, dims), np.float32)
-    b = np.stack([np.frombuffer(bytes(r.b), np.float32) for r in rows]) if rows else np.zeros((0, META), np.float32)
-    y = np.array([-1 if r.label is None else r.label for r in rows], int)
-    fold = np.array([r.fold for r in rows], bool)
-    told = y >= 0
-    if len(set(y[told & ~fold])) < 2:
-        return None
-    return CoTrained(a[told], b[told], y[told], fold[told], a[~told], b[~told])
-
-
 def score(docs: DataFrame, model: CoTrained | None, dims: int = DIMS, least: float = 0.5) -> DataFrame:
     """docs with content_score, metadata_score, quality_score and keep added."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
